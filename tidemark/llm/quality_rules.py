@@ -1,8 +1,8 @@
 r"""Quality by weak supervision, in DataFrame and SQL functions only.
 
 Rules vote good, bad or abstain on each text. Expectation-maximisation over the counts of vote patterns (at most
-3**rules rows, whatever the corpus size) estimates how often each rule is right about good and about bad texts and
-the share of bad ones, abstentions left out; the posterior probability of good replaces an all-must-pass filter. The whole estimation is one SQL
+2**rules rows, whatever the corpus size) estimates how often each rule votes on good and on bad texts and the share
+of bad ones; the posterior probability of good replaces an all-must-pass filter. The whole estimation is one SQL
 expression on one row.
 
 Words are [^\x20\x09-\x0D]+, lines are cut at \n. Edge cases: a null or empty text has no words, all counts 0 and
@@ -18,21 +18,26 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import cut, table
 
 ROUNDS = 40
-KEEP_FROM = 0.5
+#: A text is kept from this posterior on, so one that only lacks good votes stays.
+KEEP_FROM = 0.1
 
-#: Votes, right and wrong, that every rule is taken to have cast in either class beforehand.
-PRIOR_RIGHT, PRIOR_WRONG = 2, 1
+#: Share of good and of bad texts a rule votes on before any is seen, by its vote, and for how many texts that counts.
+START = {1: (0.95, 0.6), 2: (0.01, 0.3)}
+PRIOR_VOTES = 10
 
-#: name, condition of a bad vote, condition of a good vote; with neither the rule abstains.
+#: name, vote (2 bad, 1 good), condition; where it does not hold the rule abstains.
 RULES = [
-    ("symbols", "n_symbols > 0.1 * n_words", "n_symbols < 0.02 * n_words"),
-    ("upper_case", "n_upper > 0.3 * word_chars", "n_upper < 0.1 * word_chars"),
-    ("repeated_windows", "n_repeat_words > 0.3 * n_words", "n_repeat_words < 0.1 * n_words AND n_words >= 10"),
-    ("duplicate_lines", "n_dup_lines > 0.3 * n_lines", "n_dup_lines = 0 AND n_lines > 1"),
-    ("vocabulary", "n_distinct < 0.3 * n_words", "n_distinct > 0.45 * n_words AND n_words >= 10"),
-    ("exclamations", "n_exclaim > 0.3 * n_words", "n_exclaim < 0.05 * n_words"),
-    ("cells", "n_cells > 0.2 * n_words", "n_cells < 0.02 * n_words"),
-    ("word_length", "word_chars > 16 * n_words OR word_chars < 2 * n_words", "word_chars BETWEEN 3 * n_words AND 11 * n_words"),
+    ("symbols_per_word", 2, "n_symbols > 0.2 * n_words"),
+    ("symbols_per_character", 2, "n_symbols > 0.05 * word_chars"),
+    ("upper_case", 2, "n_upper > 0.3 * word_chars"),
+    ("exclamations", 2, "n_exclaim > 0.3 * n_words"),
+    ("cells", 2, "n_cells > 0.2 * n_words"),
+    ("repeated_windows", 2, "n_repeat_words > 0.3 * n_words"),
+    ("vocabulary", 2, "n_distinct < 0.3 * n_words"),
+    ("duplicate_lines", 2, "n_dup_lines > 0.3 * n_lines"),
+    ("word_length", 2, "word_chars > 16 * n_words OR word_chars < 2 * n_words"),
+    ("sentences", 1, "n_ended >= 0.7 * n_lines AND n_words > 0"),
+    ("plain_letters", 1, "n_plain >= 0.75 * word_chars AND n_words > 0"),
 ]
 
 WINDOWS = "transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2]))"
@@ -63,38 +68,40 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id", "size(words) AS n_words", r"length(translate(text, ' \t\n\u000b\u000c\r', '')) AS word_chars",
         f"{without('#*$%&|<>')} AS n_symbols", "size(lines) - size(array_distinct(lines)) AS n_dup_lines", "size(lines) AS n_lines",
         f"{COVERED} AS n_repeat_words", "size(array_distinct(words)) AS n_distinct", f"{without('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_upper",
-        f"{without('!')} AS n_exclaim", f"{without('|')} AS n_cells",
+        f"{without('!')} AS n_exclaim", f"{without('|')} AS n_cells", r"size(filter(lines, l -> rtrim(l) rlike '[.?]$')) AS n_ended",
+        r"length(translate(text, ' \t\n\u000b\u000c\rABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789#*$%&|<>!?.,;:', '')) AS n_plain",
     )
 
 
 def votes(measured: DataFrame) -> DataFrame:
-    """Adds pattern: the votes as digits to base 3 (0 abstains, 1 good, 2 bad)."""
-    digit = lambda bad, good: f"CASE WHEN {bad} THEN 2 WHEN {good} THEN 1 ELSE 0 END"
-    return measured.withColumn("pattern", F.expr(" + ".join(f"{3**j} * ({digit(bad, good)})" for j, (_, bad, good) in enumerate(RULES))))
+    """Adds pattern: bit j is set where rule j votes."""
+    return measured.withColumn("pattern", F.expr(" + ".join(f"IF({when}, {1 << j}, 0)" for j, (_, _, when) in enumerate(RULES))))
 
 
 def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, p_good) from (pattern, n): expectation-maximisation in one row."""
     m = len(RULES)
-    digits = f"transform(sequence(0, {m - 1}), j -> cast(floor(pattern / pow(3, j)) AS int) % 3)"
-    flat = lambda x: f"array({', '.join([f'{x}D'] * m)})"
-    log_odds = "aggregate(e.d, struct(ln(s.prior) - ln(1D - s.prior) AS t, 0 AS j), (a, v) -> struct(a.t + CASE v WHEN 2 THEN ln(s.bad[a.j]) - ln(1D - s.good[a.j]) WHEN 1 THEN ln(1D - s.bad[a.j]) - ln(s.good[a.j]) ELSE 0D END AS t, a.j + 1 AS j), a -> a.t)"
-    bad = f"1D / (1D + exp(-greatest(-700D, least(700D, {log_odds}))))"
-    weight = lambda w, which: f"aggregate(x, 0D, (t, e) -> t + IF({which}, e.n * {w}, 0D))"
-    rate = lambda w, vote: f"transform(sequence(0, {m - 1}), k -> ({weight(w, f'e.d[k] = {vote}')} + {PRIOR_RIGHT}D) / ({weight(w, 'e.d[k] > 0')} + {PRIOR_RIGHT + PRIOR_WRONG}D))"
-    step = f"""transform(array(transform(found, e -> struct(e.n AS n, e.d AS d, {bad} AS b))), x -> struct(
-        ({weight('e.b', 'true')} + 1D) / ({weight('1D', 'true')} + 2D) AS prior, {rate('(1D - e.b)', 1)} AS good, {rate('e.b', 2)} AS bad))[0]"""
-    model = f"aggregate(sequence(1, {rounds}), struct(0.1D AS prior, {flat(0.95)} AS good, {flat(0.5)} AS bad), (s, i) -> {step})"
-    row = patterns.selectExpr("pattern", "cast(n AS double) AS n", f"{digits} AS d").groupBy().agg(F.sort_array(F.collect_list(F.struct("pattern", "n", "d"))).alias("found"))  # at most 3**rules
+    array = lambda xs: f"array({', '.join(f'{x}D' for x in xs)})"
+    good, bad = (array(START[vote][k] for _, vote, _ in RULES) for k in (0, 1))
+    digits = f"transform(sequence(0, {m - 1}), j -> cast(getbit(pattern, j) AS int))"
+    told = "IF(v = 1, ln(s.bad[a.j]) - ln(s.good[a.j]), ln(1D - s.bad[a.j]) - ln(1D - s.good[a.j]))"
+    p_bad = f"1D / (1D + exp(-greatest(-700D, least(700D, aggregate(e.d, struct(ln(s.prior) - ln(1D - s.prior) AS t, 0 AS j), (a, v) -> struct(a.t + {told} AS t, a.j + 1 AS j), a -> a.t)))))"
+    weight = lambda w: f"aggregate(x, 0D, (t, e) -> t + e.n * {w})"
+    rate = lambda w, start: f"transform({start}, (r, k) -> ({weight(f'{w} * e.d[k]')} + {PRIOR_VOTES}D * r) / ({weight(w)} + {PRIOR_VOTES}D))"
+    step = f"""transform(array(transform(found, e -> struct(e.n AS n, e.d AS d, {p_bad} AS b))), x -> struct(
+        ({weight('e.b')} + 0.1D * {PRIOR_VOTES}D) / ({weight('1D')} + {PRIOR_VOTES}D) AS prior,
+        {rate('(1D - e.b)', good)} AS good, {rate('e.b', bad)} AS bad))[0]"""
+    model = f"aggregate(sequence(1, {rounds}), struct(0.1D AS prior, {good} AS good, {bad} AS bad), (s, i) -> {step})"
+    row = patterns.selectExpr("pattern", "cast(n AS double) AS n", f"{digits} AS d").groupBy().agg(F.sort_array(F.collect_list(F.struct("pattern", "n", "d"))).alias("found"))  # at most 2**rules
     row = row.where("size(found) > 0").withColumn("s", F.expr(model))
-    return row.selectExpr("s", "inline(found)").selectExpr("pattern", f"1D - {bad.replace('e.d', 'd')} AS p_good")
+    return row.selectExpr("s", "inline(found)").selectExpr("pattern", f"1D - {p_bad.replace('e.d', 'd')} AS p_good")
 
 
 def score(docs: DataFrame) -> DataFrame:
     """The measures of each document with base_failed, p_good and kept."""
     measured = cut(votes(measures(docs)))
     model = estimate(measured.groupBy("pattern").agg(F.count("*").alias("n")))
-    judged = measured.join(F.broadcast(model), "pattern", "left")  # at most 3**rules rows
+    judged = measured.join(F.broadcast(model), "pattern", "left")  # at most 2**rules rows
     judged = judged.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= KEEP_FROM))
 
