@@ -1,11 +1,19 @@
 """The corpus operators' queries and, where SQL can express one, their SQL."""
 
+from tidemark.llm.embedding_dedup import op10_embedding_dedup
+from tidemark.llm.language_id import op8_language_id
+from tidemark.llm.ngram_join import op1_ngram_jaccard_join
 from tidemark.llm.packing import op9_best_fit_packing
+from tidemark.llm.quality_rules import op2_quality_rules
 from tidemark.llm.token_files import op6_token_files
 
 QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_quality_rules": op2_quality_rules,
     "op6_token_files": op6_token_files,
+    "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
