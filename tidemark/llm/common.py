@@ -76,20 +76,24 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def words_of(raw: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end (bytes) and 64-bit hash of each word of UTF-8 bytes; lower folds A-Z only."""
+def words_of(raw: np.ndarray, lower: bool, head: int = 0) -> tuple[np.ndarray, ...]:
+    """Start, end (bytes) and 64-bit hash of each word of UTF-8 bytes; lower folds A-Z only.
+
+    With head also the hash of each word's first so many bytes, by another key.
+    """
     gap = SPACE_BYTES[raw]
     edge = np.diff(np.concatenate(([1], gap.view(np.int8), [1])))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     if not len(start):
-        return start, end, np.empty(0, np.uint64)
+        return (start, end, *[np.empty(0, np.uint64)] * (2 if head else 1))
     if lower:
         raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw)
     up, down = powers(len(raw) + 1)
     total = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return start, end, mix64(h ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+    salted = lambda stop, salt: mix64((total[stop] - total[start]) * down[start] ^ ((stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(salt)))
+    whole = salted(end, 0)
+    return (start, end, whole, salted(np.minimum(end, start + head), 1)) if head else (start, end, whole)
 
 
 def text_arrays(column) -> tuple[np.ndarray, np.ndarray]:
