@@ -2,15 +2,23 @@
 
 from tidemark.llm.embedding_dedup import op10_embedding_dedup
 from tidemark.llm.language_id import op8_language_id
+from tidemark.llm.license_scan import op3_license_scan
 from tidemark.llm.ngram_join import op1_ngram_jaccard_join
 from tidemark.llm.packing import op9_best_fit_packing
+from tidemark.llm.piece_lattice import op7_sentencepiece_n_best
 from tidemark.llm.quality_rules import op2_quality_rules
+from tidemark.llm.secret_scan import op5_secret_scan
 from tidemark.llm.token_files import op6_token_files
+from tidemark.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
+    "op3_license_scan": op3_license_scan,
+    "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
+    "op7_sentencepiece_n_best": op7_sentencepiece_n_best,
     "op8_language_id": op8_language_id,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_embedding_dedup": op10_embedding_dedup,
