@@ -40,7 +40,7 @@ RULES = [
     ("plain_letters", 1, "n_plain >= 0.75 * word_chars AND n_words > 0"),
 ]
 
-WINDOWS = "transform(slice(words, 1, greatest(size(words) - 2, 0)), (w, i) -> xxhash64(w, words[i + 1], words[i + 2]))"
+WINDOWS = "transform(array(words), ws -> transform(slice(ws, 1, greatest(size(ws) - 2, 0)), (w, i) -> xxhash64(w, ws[i + 1], ws[i + 2])))[0]"
 
 #: Words covered by windows whose hash occurs twice: neighbours in hash order, back in text order, then counted once.
 COVERED = """
@@ -59,13 +59,13 @@ def without(chars: str) -> str:
     return f"length(text) - length(translate(text, '{chars}', ''))"
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id and the counts the rules read. Arrays are columns of their own, so no lambda computes one again."""
-    one = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    one = one.selectExpr("doc_id", "text", r"filter(split(text, '[\\t-\\r ]+'), w -> w <> '') AS words", r"filter(split(text, '\\n'), l -> translate(l, ' \t\n\u000b\u000c\r', '') <> '') AS lines")
+def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the carried columns and the counts the rules read. What a lambda reads is bound to its variables, so it is computed once a row."""
+    one = docs.select("doc_id", F.struct(F.lit(0), *carry).alias("carried"), F.coalesce("text", F.lit("")).alias("text"))
+    one = one.selectExpr("doc_id", "carried", "text", r"filter(split(text, '[\\t-\\r ]+'), w -> w <> '') AS words", r"filter(split(text, '\\n'), l -> translate(l, ' \t\n\u000b\u000c\r', '') <> '') AS lines")
     one = one.withColumn("windows", F.expr(WINDOWS))
     return one.selectExpr(
-        "doc_id", "size(words) AS n_words", r"length(translate(text, ' \t\n\u000b\u000c\r', '')) AS word_chars",
+        "doc_id", *(f"carried.`{c}` AS `{c}`" for c in carry), "size(words) AS n_words", r"length(translate(text, ' \t\n\u000b\u000c\r', '')) AS word_chars",
         f"{without('#*$%&|<>')} AS n_symbols", "size(lines) - size(array_distinct(lines)) AS n_dup_lines", "size(lines) AS n_lines",
         f"{COVERED} AS n_repeat_words", "size(array_distinct(words)) AS n_distinct", f"{without('ABCDEFGHIJKLMNOPQRSTUVWXYZ')} AS n_upper",
         f"{without('!')} AS n_exclaim", f"{without('|')} AS n_cells", r"size(filter(lines, l -> rtrim(l) rlike '[.?]$')) AS n_ended",
@@ -97,9 +97,12 @@ def estimate(patterns: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return row.selectExpr("s", "inline(found)").selectExpr("pattern", f"1D - {p_bad.replace('e.d', 'd')} AS p_good")
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """The measures of each document with base_failed, p_good and kept."""
-    measured = cut(votes(measures(docs)))
+def score(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The measures of each document with base_failed, p_good and kept, and the carried columns.
+
+    The measures are kept in a checkpoint, which also stops a later filter from being pushed below them.
+    """
+    measured = cut(votes(measures(docs, carry)))
     model = estimate(measured.groupBy("pattern").agg(F.count("*").alias("n")))
     judged = measured.join(F.broadcast(model), "pattern", "left")  # at most 2**rules rows
     judged = judged.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
