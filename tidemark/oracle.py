@@ -152,7 +152,7 @@ ORACLE_SQL: dict[str, str] = {name: EVENTS + sql for name, sql in {
     "speech_runs": "SELECT * FROM runs",
     "longest_quiet_run": "SELECT * FROM quiet",
     "noise_region": "SELECT * FROM noise",
-    "region_samples": f"SELECT series_id, start, \"end\", intervals, {r6('peak_level', 'voicing', 'level_variance', 'rms_level', 'momentary', 'centroid', 'entropy', 'kurtosis', 'flatness', 'rolloff', 'flux').replace(', 6)', ', 9)')} FROM samples",
+    "region_samples": f"SELECT series_id, start, \"end\", intervals, {r6('peak_level', 'voicing', 'level_variance', 'rms_level', 'momentary', 'centroid', 'entropy', 'kurtosis', 'flatness', 'rolloff', 'flux').replace(', 6)', ' + 3e-11, 9)')} FROM samples",
     "candidate_scores": f"SELECT series_id, start, \"end\", {r6('score')} FROM scored",
     "elected_region": f"SELECT series_id, start, \"end\", {r6('score')} FROM elected",
     "refined_region": f"SELECT series_id, start, \"end\", refined, original_start, original_end, round({SCORE}, 6) AS score FROM again",
