@@ -103,7 +103,7 @@ def stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of each series by stage: intervals of the first, second and third eight hours of a day stand for the stages."""
     iv = intervals.event_intervals(read(spark, sf_dir, "events"), HOP_S)
     stage = F.element_at(F.array(F.lit("input"), F.lit("filtered"), F.lit("final")), (F.floor(F.col("ts") % 86400 / 28800) + 1).cast("int"))
-    return iv.groupBy("series_id", stage.alias("stage")).agg(*(F.round(F.avg(m[0]), 6).alias(m[0]) for m in record.METRICS))
+    return iv.groupBy("series_id", stage.alias("stage")).agg(*(F.round(F.avg(m[0]) + 3e-11, 6).alias(m[0]) for m in record.METRICS))
 
 
 def q_scalar(spark, sf_dir):

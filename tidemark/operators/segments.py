@@ -12,7 +12,8 @@ from tidemark.functions.exprs import passes_veto
 from tidemark.operators.intervals import in_regions
 from tidemark.operators.levels import nearest_rank, ordered
 
-BY_TIME = Window.partitionBy("series_id").orderBy("ts")
+def by_time():
+    return Window.partitionBy("series_id").orderBy("ts")
 
 
 def speech_flags(intervals: DataFrame, limits: DataFrame, axis: str = "momentary") -> DataFrame:
@@ -23,7 +24,7 @@ def speech_flags(intervals: DataFrame, limits: DataFrame, axis: str = "momentary
 
 def gap_tolerance(flags: DataFrame, bounds: tuple[int, int] = C.GAP_HOPS) -> DataFrame:
     """(series_id, tolerance): a high percentile of the lengths of gaps between speech, within bounds."""
-    island = flags.withColumn("before", F.sum(F.col("speech").cast("long")).over(BY_TIME)).withColumn("total", F.sum(F.col("speech").cast("long")).over(Window.partitionBy("series_id")))
+    island = flags.withColumn("before", F.sum(F.col("speech").cast("long")).over(by_time())).withColumn("total", F.sum(F.col("speech").cast("long")).over(Window.partitionBy("series_id")))
     inner = ~F.col("speech") & (F.col("before") > 0) & (F.col("before") < F.col("total"))
     gaps = island.groupBy("series_id", "before").agg(F.sum(F.when(inner, 1)).alias("gap"))
     p = gaps.groupBy("series_id").agg(ordered(F.col("gap")).alias("gaps"))
@@ -59,8 +60,8 @@ def speech_runs(flags: DataFrame, tolerance: DataFrame, hop_s: int, least: int =
 
 def quiet_run(flags: DataFrame, hop_s: int, axis: str = "momentary") -> DataFrame:
     """(series_id, start, end): the longest run below the split; the earliest of equals."""
-    below = flags.withColumn("i", F.row_number().over(BY_TIME)).where(F.col(axis) < F.col("split"))
-    below = below.withColumn("island", F.col("i") - F.row_number().over(BY_TIME))
+    below = flags.withColumn("i", F.row_number().over(by_time())).where(F.col(axis) < F.col("split"))
+    below = below.withColumn("island", F.col("i") - F.row_number().over(by_time()))
     runs = below.groupBy("series_id", "island").agg(F.min("ts").alias("start"), (F.max("ts") + hop_s).alias("end"))
     best = runs.groupBy("series_id").agg(F.max(F.struct((F.col("end") - F.col("start")).alias("length"), (-F.col("start")).alias("first"))).alias("b"))
     return best.select("series_id", (-F.col("b.first")).alias("start"), (F.col("b.length") - F.col("b.first")).alias("end"))

@@ -86,7 +86,7 @@ again AS (SELECT r.*, floor, rms_level, variance FROM (SELECT r.series_id, r.sta
 voiced AS (SELECT f.series_id, list_sort(list(momentary)) AS w FROM flags f JOIN elected e ON e.series_id = f.series_id AND ts >= e.start AND ts < e."end" WHERE speech GROUP BY 1),
 below AS (SELECT series_id, list_sort(list(momentary) FILTER (momentary > -115 AND momentary < split)) AS v FROM flags GROUP BY 1),
 gate AS (SELECT series_id, {rank('w', 10)} AS voiced_low, {rank('v', 95)} AS noise_high FROM below LEFT JOIN voiced USING (series_id)),
-staged AS (SELECT series_id, ['input', 'filtered', 'final'][ts % 86400 // 28800 + 1] AS stage, round(avg(rms_level), 6) AS rms_level, round(avg(peak_level), 6) AS peak_level, round(avg(momentary), 6) AS momentary, round(avg(kurtosis), 6) AS kurtosis, round(avg(flatness), 6) AS flatness, round(avg(flux), 6) AS flux FROM iv GROUP BY ALL),
+staged AS (SELECT series_id, ['input', 'filtered', 'final'][ts % 86400 // 28800 + 1] AS stage, round(avg(rms_level) + 3e-11, 6) AS rms_level, round(avg(peak_level) + 3e-11, 6) AS peak_level, round(avg(momentary) + 3e-11, 6) AS momentary, round(avg(kurtosis) + 3e-11, 6) AS kurtosis, round(avg(flatness) + 3e-11, 6) AS flatness, round(avg(flux) + 3e-11, 6) AS flux FROM iv GROUP BY ALL),
 long_stage AS (UNPIVOT staged ON rms_level, peak_level, momentary, kurtosis, flatness, flux INTO NAME metric VALUE value),
 aligned AS (SELECT series_id, metric, max(value) FILTER (stage = 'input') AS "input", max(value) FILTER (stage = 'filtered') AS filtered, max(value) FILTER (stage = 'final') AS final FROM long_stage GROUP BY ALL),
 summary_rows AS (SELECT series_id, count(*) AS intervals, list_sort(list(rms_level) FILTER (rms_level > -120)) AS v FROM iv GROUP BY 1),
