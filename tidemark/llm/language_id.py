@@ -125,6 +125,8 @@ def learn(labelled: DataFrame, bits: int = BITS) -> Filters:
     names = sorted(r.lang for r in labelled.select("lang").distinct().collect())  # one row a language
     if len(names) > 63:
         raise ValueError("more than 63 languages")
+    if not names:
+        return Filters([], np.zeros((HASHES, 1 << bits), np.uint64))
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
