@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
-from tidemark.functions.exprs import clamp, db_to_linear, escape_option, finite_or, is_finite, linear_to_db
+from tidemark.functions.exprs import clamp, db_to_linear, finite_or, is_finite
 
 GATE_DB = (-80.0, -25.0)
 GATE_MARGIN_DB = 6.0
@@ -144,6 +144,3 @@ def normalisation(df: DataFrame) -> DataFrame:
     silent = F.col("measured_integrated") < -70
     df = df.withColumn("status", F.when(silent, "silent").otherwise("ok")).withColumn("deviation_lu", F.col("final_integrated") - F.col("target_lufs"))
     return df.withColumn("within_target", ~silent & (F.abs("deviation_lu") <= C.TARGET_TOLERANCE_LU)).withColumn("varied", F.lower(F.trim("mode")) == "dynamic")
-
-
-__all__ = ["band_edges", "band_shape", "chain_text", "escape_option", "limiter_plan", "linear_target", "linear_to_db", "normalisation", "tune"]
