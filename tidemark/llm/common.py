@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -41,11 +42,32 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles and checkpoints of plans that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below the shared one."""
     return f"{shared_dir(spark).rstrip('/')}/tidemark-{label}-{uuid.uuid4().hex}"
 
 
+def stash(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a Parquet table in the shared folder, smaller than a checkpoint; give it to discard() after use."""
+    path = fresh_dir(df.sparkSession, "stash")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(stashed: DataFrame) -> None:
+    spark = stashed.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stashed.stashed_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions_for(spark: SparkSession, least: int = 0) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -122,10 +144,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def min_label(df: DataFrame, node: str) -> DataFrame:
-    return df.groupBy(node).agg(F.min("label").alias("label"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): (node, label), label the smallest node reachable.
 

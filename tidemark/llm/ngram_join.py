@@ -6,7 +6,8 @@ fragments; a document's set is cut with it.
 
 1. Texts with equal sets form classes; one document stands for each.
 2. By the prefix principle two sets with a Jaccard similarity of t share one of their (1 - t) n + 1 first shingles.
-   Each prefix shingle proposes pairs.
+   Each prefix shingle proposes pairs. Of two sets, the one whose prefix ends first shares with the other only what both
+   prefixes share and what follows its own prefix, so pairs with too few prefix shingles in common are dropped.
 3. A proposed pair's overlap is counted in every fragment separately and summed per pair; the exact test follows.
 4. Pairs are proposed in rounds. In a first round each shingle proposes only (its first document, each other one). In
    the second it proposes every pair whose documents still are in different components. So groups of thousands of
@@ -28,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, mix64, table, words_of
+from tidemark.llm.common import components, cut, discard, mix64, release, stash, table, words_of
 
 N = 4
 PERCENT = 85
 FRAGMENTS = 4
-CHUNK = 1 << 21
+CHUNK = 1 << 18
+#: Texts that are turned into sets at a time.
+GROUP = 1000
 SLICE = 1 << 16
 WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x94D049BB133111EB], np.uint64)
 
@@ -69,17 +72,17 @@ class Sketch:
     """Counts of hashes by their leading bits, in slices that travel apart and are summed by slice."""
 
     def __init__(self, bits: int):
-        self.bits, self.counts, self.waiting, self.size = bits, np.zeros(1 << bits, np.int64), [], 0
+        self.bits, self.counts, self.waiting, self.size = bits, np.zeros(1 << bits, np.int32), [], 0
 
     def add(self, hashes: np.ndarray) -> None:
         self.waiting.append((hashes >> np.uint64(64 - self.bits)).astype(np.int32))
         self.size += len(hashes)
-        if self.size > 1 << 21:
+        if self.size > 1 << 20:
             self.flush()
 
     def flush(self) -> None:
         if self.waiting:
-            self.counts += np.bincount(np.concatenate(self.waiting), minlength=len(self.counts))
+            self.counts += np.bincount(np.concatenate(self.waiting), minlength=len(self.counts)).astype(np.int32)
             self.waiting, self.size = [], 0
 
     def slices(self):
@@ -160,11 +163,12 @@ class NgramJoin:
             sketch = Sketch(bits)
             for batch in batches:
                 size, hi, lo = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-                for i, s in shingle_sets(batch.column("text").to_pylist(), n):
-                    if len(s):
-                        size[i] = len(s)
-                        hi[i], lo[i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
-                        sketch.add(s)
+                for at in range(0, batch.num_rows, GROUP):
+                    for i, s in shingle_sets(batch.column("text").slice(at, GROUP).to_pylist(), n):
+                        if len(s):
+                            size[at + i] = len(s)
+                            hi[at + i], lo[at + i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                            sketch.add(s)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(hi), pa.array(lo), pa.nulls(len(size), pa.int64()), pa.nulls(len(size), pa.binary())], names=names)
             rows = list(sketch.slices())
             k = len(rows)
@@ -187,9 +191,10 @@ class NgramJoin:
                 keep = np.flatnonzero(here[(mix64(ids.astype(np.uint64)) >> shift).astype(np.int64)])
                 if not len(keep):
                     continue
-                ids = ids[keep].tolist()
-                texts = batch.column("text").take(pa.array(keep)).to_pylist()
-                yield from make((ids[i], order_keys(s, codes, bits, usual)) for i, s in shingle_sets(texts, n) if len(s))
+                for lo in range(0, len(keep), GROUP):
+                    some = keep[lo : lo + GROUP]
+                    own, texts = ids[some].tolist(), batch.column("text").take(pa.array(some)).to_pylist()
+                    yield from make((own[i], order_keys(s, codes, bits, usual)) for i, s in shingle_sets(texts, n) if len(s))
 
         return self.docs.mapInArrow(run, schema)
 
@@ -232,30 +237,47 @@ class NgramJoin:
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, na, nb) that link: overlaps counted by fragment, then summed by pair."""
         nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = cut(self.fragments(nodes))
+        sets = stash(self.fragments(nodes))
         left = sets.select(F.col("doc_id").alias("a"), "fragment", F.col("keys").alias("ka"))
         right = sets.select(F.col("doc_id").alias("b"), F.col("fragment"), F.col("keys").alias("kb"))
         partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("part"))
         total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-        return cut(total.where(f"100 * overlap >= {self.percent} * (na + nb - overlap)").select("a", "b", "overlap"))
+        found = cut(total.where(f"100 * overlap >= {self.percent} * (na + nb - overlap)").select("a", "b", "overlap"))
+        discard(sets)
+        del left, right, partial, total
+        release(self.spark)
+        return found
 
     def links(self) -> DataFrame:
         """Links (a, b) between documents that stand for classes; they connect all that any links connect."""
         near = f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)"
+        rest_of = lambda n: f"({self.percent} * {n} + 99) div 100 - 1"  # noqa: E731  shingles after the prefix
+        enough = f"both >= ({self.percent} * (na + nb) + {99 + self.percent}) div {100 + self.percent} - greatest({rest_of('na')}, {rest_of('nb')})"
         tokens = self.prefixes()
-        first = tokens.groupBy("token").agg(F.min(F.struct("n", "doc_id")).alias("low"), F.max("doc_id").alias("top"), F.min("doc_id").alias("bottom")).where("top <> bottom")
-        shared = cut(tokens.join(first.select("token", F.col("low.n").alias("na"), F.col("low.doc_id").alias("a")), "token"))
-        proposed = cut(shared.where("a <> doc_id").select("a", F.col("doc_id").alias("b"), "na", F.col("n").alias("nb")).where(near).distinct())
+        first = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("top <> a").drop("top")
+        shared = stash(tokens.join(first, "token").select("token", "doc_id", "n", "a"))
+        del tokens, first
+        release(self.spark)
+        proposed = shared.where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).agg(F.count("*").alias("both"))
+        sizes = self.sizes.groupBy(F.col("doc_id").alias("a")).agg(F.max("n_shingles").alias("na"))
+        proposed = cut(proposed.join(sizes, "a").where(near).where(enough).select("a", "b", "na", "nb"))
+        release(self.spark)
         links = self.linked(proposed)
         label = components(links)
         named = shared.select("token", "doc_id", "n").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        named = cut(named)
         mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-        rest = cut(named.join(mixed, "token"))
+        rest = stash(named.join(mixed, "token"))
+        del named, mixed
+        discard(shared)
+        release(self.spark)
         one, two = (rest.select("token", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-        pairs = one.join(two, "token").where("a < b AND label_a <> label_b").where(near).select("a", "b", "na", "nb").distinct()
+        pairs = one.join(two, "token").where("a < b AND label_a <> label_b").where(near)
+        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).where(enough)
         known = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs.join(known, ["a", "b"], "left_anti"))
+        pairs = cut(pairs.drop("both").join(known, ["a", "b"], "left_anti"))
+        del one, two, known
+        discard(rest)
+        release(self.spark)
         return links.select("a", "b").unionByName(self.linked(pairs).select("a", "b"))
 
     def result(self) -> DataFrame:
