@@ -4,8 +4,8 @@ The lattice of a text has an edge for every piece of the model that matches at a
 byte-fallback edge for a character without a piece. Forward Viterbi gives each position its exact best score from the
 start; a backward A-star search from the end uses these as heuristic, so paths come out best first.
 
-No usable piece holds the space mark after its first character, so the lattice has a cut before each mark, and the N best
-of a text are the N best sums over its segments. Only the N - 1 segments whose second-best path loses least can differ
+No usable piece holds the space mark after its first character, or a line feed, so the lattice has a cut before each mark
+and around each line feed, and the N best of a text are the N best sums over its segments. Only the N - 1 segments whose second-best path loses least can differ
 from their best path in the N best of the text (each of them alone already gives one as good), so A-star runs on those.
 
 Normalisation: a space mark before the text, a mark for each space, nothing else. Edge cases: a null or empty text has no
@@ -16,6 +16,7 @@ the model itself; repeated rows are encoded alike; extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
 
 import numpy as np
@@ -30,6 +31,11 @@ FALLBACK = 10.0
 #: Pieces with a score this low are never produced by the model and take no part.
 UNUSED = -1e8
 MAX_SEGMENTS = 600_000
+#: Longer segments, and those with a character without a piece, are searched one by one.
+WIDE = 24
+#: Texts whose new segments are learnt together.
+GROUP = 500
+PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Lattice:
@@ -49,11 +55,89 @@ class Lattice:
         self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.plain = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.keys, self.key_ids, self.key_scores = self.hashed()
+        self.cuts = not any("\n" in p for p in self.pieces)
         self.cache: dict[str, int] = {}
         self.texts: list[str] = []
         self.ids: list[bytes] = []
         self.score, self.loss = np.zeros(1 << 12), np.zeros(1 << 12)
 
+    def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces by the ascending hash of their characters: hashes, ids, scores."""
+        found = []
+        for piece, (i, score) in self.pieces.items():
+            h = np.zeros(1, np.uint64)
+            for c in piece:
+                h = h * PRIME + np.uint64(ord(c) + 1)
+            found.append((int(h[0]), i, score))
+        found.sort()
+        if len({h for h, _, _ in found}) < len(found):
+            raise ValueError("two pieces share a hash")
+        h, i, score = zip(*found)
+        return np.array(h, np.uint64), np.array(i, np.int64), np.array(score)
+
+    def segments(self, text: str) -> list[str]:
+        """The text between the lattice's cuts: before each mark and, as no piece holds a line feed, around those."""
+        parts = [MARK + s for s in text.replace(" ", MARK).split(MARK)]
+        if not self.cuts or "\n" not in text:
+            return parts
+        return [q for p in parts for q in (re.split("(\n)", p) if "\n" in p else (p,)) if q]
+
+    def learn(self, segments: list[str]) -> None:
+        """Enters new segments: Viterbi over all segments of one length at a time."""
+        by_length: dict[int, list[str]] = {}
+        for s in segments:
+            by_length.setdefault(len(s), []).append(s)
+        for n, group in by_length.items():
+            if n > WIDE:
+                for s in group:
+                    self.number(s)
+                continue
+            for lo in range(0, len(group), 1 << 15):
+                self.learn_equal(group[lo : lo + (1 << 15)], n)
+
+    def learn_equal(self, group: list[str], n: int) -> None:
+        m, last = len(group), len(self.keys) - 1
+        codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).T.astype(np.uint64) + np.uint64(1)
+        best, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
+        piece, length = np.zeros((n + 1, m), np.int64), np.ones((n + 1, m), np.int64)
+        best[0], plain = 0.0, np.ones(m, bool)
+        for i in range(n):
+            h = np.zeros(m, np.uint64)
+            for k in range(1, min(self.longest, n - i) + 1):
+                h = h * PRIME + codes[i + k - 1]
+                at = np.minimum(np.searchsorted(self.keys, h), last)
+                hit = self.keys[at] == h
+                if k == 1:
+                    plain &= hit
+                rows = np.flatnonzero(hit)
+                if not len(rows):
+                    continue
+                at, end = at[rows], i + k
+                s1, s2, old = best[i, rows] + self.key_scores[at], second[i, rows] + self.key_scores[at], best[end, rows]
+                up = s1 > old
+                second[end, rows] = np.where(up, np.maximum(old, s2), np.maximum(second[end, rows], s1))
+                best[end, rows] = np.where(up, s1, old)
+                piece[end, rows[up]], length[end, rows[up]] = self.key_ids[at[up]], k
+        ids, at, count, every = np.zeros((n, m), np.int64), np.full(m, n), np.zeros(m, np.int64), np.arange(m)
+        for step in range(n - 1, -1, -1):
+            on = at > 0
+            ids[step] = np.where(on, piece[at, every], 0)
+            at, count = at - np.where(on, length[at, every], 0), count + on
+        raw, k = ids.T.astype("<u2").tobytes(), len(self.ids)
+        for j in np.flatnonzero(~plain).tolist():
+            self.number(group[j])
+        some = np.flatnonzero(plain)
+        k = len(self.ids)
+        while len(self.score) < k + len(some):
+            self.score, self.loss = (np.concatenate((x, np.zeros(len(x)))) for x in (self.score, self.loss))
+        self.score[k : k + len(some)] = best[n, some]
+        self.loss[k : k + len(some)] = best[n, some] - second[n, some]
+        for place, (j, c) in enumerate(zip(some.tolist(), count[some].tolist()), k):
+            self.cache[group[j]] = place
+            self.texts.append(group[j])
+            self.ids.append(raw[2 * (n * (j + 1) - c) : 2 * n * (j + 1)])
+
     def edges(self, text: str, start: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """(end, score, ids) of the edges that leave a position."""
         found, get = [], self.pieces.get
@@ -133,24 +217,32 @@ class Lattice:
         ids, best, second = self.best_two(segment)
         k = len(self.ids)
         if k == len(self.score):
-            self.score, self.loss = (np.concatenate((x, np.zeros(k))) for x in (self.score, self.loss))
+            self.score, self.loss = (np.concatenate((x, np.zeros(len(x)))) for x in (self.score, self.loss))
         self.cache[segment] = k
         self.texts.append(segment)
         self.ids.append(np.array(ids, "<u2").tobytes())
         self.score[k], self.loss[k] = best, best - second
         return k
 
-    def encode(self, text: str, n: int = N_BEST) -> list[tuple[float, np.ndarray]]:
+    def encode_all(self, texts: list[str], n: int = N_BEST):
+        """encode() for each text; the new segments of GROUP texts are learnt together."""
+        for lo in range(0, len(texts), GROUP):
+            if len(self.ids) > MAX_SEGMENTS:
+                self.cache.clear()
+                self.texts.clear()
+                self.ids.clear()
+            group = [self.segments(t) if t else [] for t in texts[lo : lo + GROUP]]
+            have = self.cache
+            self.learn(list({s for segments in group for s in segments if s not in have}))
+            for text, segments in zip(texts[lo : lo + GROUP], group):
+                yield self.encode(text, n, segments)
+
+    def encode(self, text: str, n: int = N_BEST, segments: list[str] | None = None) -> list[tuple[float, np.ndarray]]:
         """The n best segmentations of a text as (score, ids), best first."""
         if not text:
             return [(0.0, np.empty(0, np.uint16))]
-        if len(self.ids) > MAX_SEGMENTS:
-            self.cache.clear()
-            self.texts.clear()
-            self.ids.clear()
-        segments = [MARK + s for s in text.replace(" ", MARK).split(MARK)]
         get, number = self.cache.get, self.number
-        places = [p if (p := get(s)) is not None else number(s) for s in segments]
+        places = [p if (p := get(s)) is not None else number(s) for s in segments or self.segments(text)]
         parts, at = [self.ids[p] for p in places], np.array(places)
         total, loss = float(self.score[at].sum()), self.loss[at]
         if n == 1:
@@ -197,8 +289,8 @@ def encode_n_best(docs: DataFrame, n: int = N_BEST, name: str = "piece_bpe_32k.m
         own = lattice(name)
         for batch in batches:
             rows = []
-            for text in null_safe_texts(batch.column("text")):
-                found = own.encode(text, n)
+            texts = null_safe_texts(batch.column("text"))
+            for text, found in zip(texts, own.encode_all(texts, n)):
                 crcs = [zlib.crc32(ids.astype("<u4").tobytes()) for _, ids in found]
                 whole = text.replace(MARK, " ")
                 back = all((own.decode(ids) if len(ids) else "") == whole for _, ids in (found[0], found[-1]))
