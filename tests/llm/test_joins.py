@@ -103,6 +103,18 @@ def test_vectors_equal_all_pairs(spark):
     assert all(got[i].component_id == i for i in range(len(rows), len(lists)))
 
 
+@pytest.mark.parametrize("vectors,shift,bound", [(1_000_000, 0.0, 64), (60_000_000, 0.0, 200), (1_000_000, 0.6, 400)])
+def test_tables_find_pairs_at_the_threshold(vectors, shift, bound):
+    rng = np.random.default_rng(9)
+    draw = lambda n: embedding_dedup.unit(rng.normal(size=(n, 64)) + shift)
+    mean, planes, width = embedding_dedup.design(vectors, 64, 0.9, 0.97, draw(5000))
+    a, b = embedding_dedup.threshold_pairs(draw(4000), 0.9, 4000, 1)
+    assert np.allclose((a * b).sum(1), 0.9)
+    meet = (embedding_dedup.keys_of(a, mean, planes, width) == embedding_dedup.keys_of(b, mean, planes, width)).any(1)
+    assert meet.mean() >= 0.955
+    assert planes.shape[1] // width <= bound
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(empty).collect() == []

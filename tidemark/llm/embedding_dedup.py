@@ -1,9 +1,12 @@
 """Near-duplicate vectors by iterative quantisation (ITQ) and multi-index Hamming tables.
 
-A rotation for balanced binary codes is learnt on at most SAMPLE vectors (those with the smallest hashes of their ids;
+Rotations for balanced binary codes are learnt on at most SAMPLE vectors (those with the smallest hashes of their ids;
 centred, principal directions, then ITQ's alternation of signs and Procrustes). Every vector is indexed: each table is a
-Hamming table on its own subset of the code's bits, with about log2(vectors) - SPARE bits a key, and as many tables as
-find a pair at the threshold with probability RECALL. Pairs that meet in a table are reranked with the original vectors
+Hamming table with a key of about log2(vectors) - SPARE bits. Tables on one code share no bits, and when a code's bits
+are used up the next tables get a code of another rotation, so a pair that is unlucky in one code is not so in all. How
+often pairs at the threshold meet is measured, after centring, on PAIRS made from the sample (moved off at random, and
+along differences of sample vectors): tables are added until RECALL of either kind meet, with narrower keys where more
+than MOST tables would be needed, and if four times as many do not do, all vectors are compared with all. Pairs that meet in a table are reranked with the original vectors
 by cosine in double precision. A pair counts in the first table where it meets, so links are neither lost nor counted
 twice, and no list of pairs leaves a task: it sends link counts, and links enough to connect what it saw.
 
@@ -29,42 +32,80 @@ THRESHOLD = 0.9
 RECALL = 0.97
 SAMPLE = 20_000
 SPARE = 4
+PAIRS = 4_000
+MOST = 256
+#: Sample vectors that the alternation runs on, at most half of them: recall is measured on the others, as planes lie farther from vectors they were fitted to.
+ALTERNATE = 5_000
 BLOCK = 512
 ROUNDS = 30
 SEED = 7
 
 
-def learn_rotation(sample: np.ndarray, bits: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) of ITQ: code = projected sign. sample: unit rows."""
+def rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS):
+    """The mean, then without end projections of ITQ: code = projected sign. sample: unit rows."""
     rng = np.random.default_rng(SEED)
     d = sample.shape[1]
     if len(sample) < 2:
-        return np.zeros(d), np.linalg.qr(rng.normal(size=(d, d)))[0][:, :bits]
+        yield np.zeros(d)
+        while True:
+            yield np.linalg.qr(rng.normal(size=(d, d)))[0][:, :bits]
     mean = sample.mean(0)
+    yield mean
     centred = sample - mean
     _, basis = np.linalg.eigh(centred.T @ centred)
     directions = basis[:, ::-1][:, :bits]
-    v = centred @ directions
-    r = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))[0]
-    for _ in range(rounds):
-        u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
-        r = (u @ w).T
-    return mean, directions @ r
-
-
-def design(vectors: int, bits: int, threshold: float, recall: float) -> np.ndarray:
-    """Bit subsets, one row a table. A bit differs for a pair at the threshold with probability angle / pi at most."""
+    v = centred[: min(ALTERNATE, -(-len(sample) // 2))] @ directions
+    while True:
+        r = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))[0]
+        for _ in range(rounds):
+            u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+            r = (u @ w).T
+        yield directions @ r
+
+
+def threshold_pairs(sample: np.ndarray, threshold: float, n: int = PAIRS, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold, the first from the sample: one half moved off at random, the other along differences of sample vectors."""
+    rng = np.random.default_rng(seed)
+    a, b, c = sample[rng.integers(0, len(sample), (3, n))]
+    random = rng.normal(size=a.shape)
+    off = np.where((np.arange(n) < n // 2)[:, None] | (np.abs(b - c).max(1, keepdims=True) < 1e-9), random, b - c)
+    off -= (off * a).sum(1, keepdims=True) * a
+    flat = np.abs(off).max(1) < 1e-9  # along the vector itself, or one dimension only
+    off[flat] = a[flat]
+    return a, np.where(flat[:, None], a, threshold * a + math.sqrt(1 - threshold * threshold) * unit(off))
+
+
+def design(vectors: int, bits: int, threshold: float, recall: float, sample: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """(mean, planes, width): the key of table t holds the sides of planes t * width and on. sample: unit rows."""
+    codes = rotations(sample, bits)
+    mean = next(codes)
     width = int(min(bits, 30, max(6, math.ceil(math.log2(max(vectors, 2))) - SPARE)))
-    meet = (1 - math.acos(threshold) / math.pi) ** width
-    tables = max(4, math.ceil(math.log(1 - recall) / math.log(1 - meet)))
-    rng = np.random.default_rng(SEED)
-    return np.array([np.sort(rng.permutation(bits)[:width]) for _ in range(tables)])
-
-
-def keys_of(signs: np.ndarray, subsets: np.ndarray) -> np.ndarray:
-    """The key of each vector in each table."""
-    weight = 1 << np.arange(subsets.shape[1], dtype=np.int64)
-    return np.stack([signs[:, s] @ weight for s in subsets], 1)
+    if not len(sample):
+        return mean, next(codes)[:, :width], width
+    a, b = (x - mean for x in threshold_pairs(sample[min(ALTERNATE, len(sample) // 2) :], threshold))
+    learnt = [next(codes) for _ in range(4)]
+    same = np.concatenate([(a @ p >= 0) == (b @ p >= 0) for p in learnt], 1).mean(1)
+    while width > 1 and (1 - (1 - same**width) ** MOST).mean() < recall:
+        width -= 1
+    met, tables = np.zeros(len(a), bool), []
+    while len(tables) < 4 or min(met[: len(a) // 2].mean(), met[len(a) // 2 :].mean()) < recall:
+        if len(tables) > 4 * MOST:  # next to no spread around the mean: one table with one bucket, every pair is compared
+            return mean, np.zeros((len(mean), 1)), 1
+        p = learnt.pop(0) if learnt else next(codes)
+        agree = (a @ p >= 0) == (b @ p >= 0)
+        order = np.random.default_rng([SEED, len(tables)]).permutation(bits)
+        for lo in range(0, bits - width + 1, width):
+            tables.append(p[:, order[lo : lo + width]])
+            met |= agree[:, order[lo : lo + width]].all(1)
+            if len(tables) >= 4 and min(met[: len(a) // 2].mean(), met[len(a) // 2 :].mean()) >= recall:
+                break
+    return mean, np.concatenate(tables, 1), width
+
+
+def keys_of(x: np.ndarray, mean: np.ndarray, planes: np.ndarray, width: int) -> np.ndarray:
+    """The key of each unit vector in each table."""
+    signs = (x - mean) @ planes >= 0
+    return signs.reshape(len(x), planes.shape[1] // width, width) @ (1 << np.arange(width, dtype=np.int64))
 
 
 def usable(column: pa.Array, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -115,21 +156,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
         return lone.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "true AS kept")
     some = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
     picked = usable(pa.array([r.embedding for r in some.collect()]), dim)[1]  # at most SAMPLE vectors
-    mean, projection = learn_rotation(unit(np.array(picked)) if picked else np.zeros((0, dim)), min(dim, 64))
-    subsets = design(count, projection.shape[1], threshold, recall)
-    model = spark.sparkContext.broadcast((mean, projection, subsets))
+    model = spark.sparkContext.broadcast(design(count, min(dim, 64), threshold, recall, unit(np.array(picked)) if picked else np.zeros((0, dim))))
     once = rows.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def index(batches):
-        mean, projection, subsets = model.value
+        mean, planes, width = model.value
         for batch in batches:
             good, x = usable(batch.column("embedding"), dim)
             if not len(good):
                 continue
             x = np.array(x)
-            signs = (unit(x) - mean) @ projection >= 0
-            keys = keys_of(signs, subsets)
-            ids, t = batch.column("vec_id").to_numpy()[good], len(subsets)
+            keys = keys_of(unit(x), mean, planes, width)
+            ids, t = batch.column("vec_id").to_numpy()[good], keys.shape[1]
             data = [v.tobytes() for v in x]
             for lo in range(0, len(good), 256):
                 hi = min(lo + 256, len(good))
@@ -143,13 +181,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     cells = cells.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "vector")
 
     def compare(group):
-        mean, projection, subsets = model.value
+        mean, planes, width = model.value
         order = np.argsort(group.column("vec_id").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
         ids, own = group.column("vec_id").to_numpy(), group.column("own").to_numpy()
         lo, hi, t = (group.column(c)[0].as_py() for c in ("lo", "hi", "t"))
         x = unit(np.frombuffer(b"".join(group.column("vector").to_pylist()), np.float64).reshape(len(ids), dim))
-        keys = keys_of((x - mean) @ projection >= 0, subsets)[:, :t]
+        keys = keys_of(x, mean, planes[:, : t * width], width)
         left, right = (np.flatnonzero(own == lo), np.flatnonzero(own == hi))
         links, forest, edges = np.zeros(len(ids), np.int64), Forest(len(ids)), []
         for at in range(0, len(left), BLOCK):
