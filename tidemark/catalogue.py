@@ -148,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adaptive_deesser": lambda s, d: rounded(tuned(s, d).select("series_id", "deess_intensity")),
     "adaptive_compressor": lambda s, d: rounded(tuned(s, d).select("series_id", "compressor_threshold_db")),
     "filter_spec": lambda s, d: tuned(s, d).where("noise_type = 'w'").select("series_id", tuning.chain_text(("downmix", "rumble", "band_limit", "gate", "compressor", "deesser", "resample")).alias("spec")),
+    "filter_chain": lambda s, d: tuned(s, d).select("series_id", tuning.chain_text().alias("spec")),
     "limiter_plan": lambda s, d: rounded(planned(s, d).select("series_id", "gain_db", F.col("limit").alias("needed"), "limit_clamped", "pre_gain_db", "ceiling_db")),
     "linear_target": lambda s, d: rounded(planned(s, d).select("series_id", "inner_peak_db", "linear", "target_lufs", "offset_db", "emitted_peak_db", "brickwall_db")),
     "normalisation_result": lambda s, d: rounded(planned(s, d).select("series_id", "status", "deviation_lu", "within_target", "varied")),

@@ -85,7 +85,7 @@ def biquad(keyword: str, frequency: float) -> Column:
 
 
 def denoise_text() -> Column:
-    number = lambda c: F.regexp_replace(F.format_string("%.6f", c), r"\.?0+$", "")
+    number = lambda c: F.regexp_replace(c.cast("string"), r"\.0$", "")
     shape = F.when((F.col("noise_type") == "custom") & (F.col("band_shape") != ""), F.concat(F.lit("custom:bn="), "band_shape")).otherwise(F.col("noise_type"))
     tail = F.when(F.col("denoise_floor") < 0, F.concat(F.lit(":nf="), number(F.col("denoise_floor")))).otherwise("")
     spectral = F.when(F.col("denoise_on"), F.concat(F.lit(",afftdn=nr=12:nt="), shape, F.lit(":tn="), F.col("track_noise").cast("int"), tail)).otherwise("")
