@@ -158,6 +158,38 @@ def test_n_best_equals_all_paths():
         assert all(own.decode(ids) == text for _, ids in got)
 
 
+def test_runs_of_marks_equal_all_paths_of_the_model():
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=piece_lattice.tokenizer_path("piece_bpe_32k.model"))
+    pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    rng, own = random.Random(6), piece_lattice.Lattice()
+
+    def paths(text, at=0, score=0.0, ids=()):
+        if at == len(text):
+            yield -score, ids
+        for end in range(at + 1, len(text) + 1):
+            if (piece := pieces.get(text[at:end])) is not None:
+                yield from paths(text, end, score + piece[1], (*ids, piece[0]))
+
+    texts = ["a    b", "    x", "  ", "a      if", "a  b", " " * 16, *("".join(rng.choice(["on", " ", "  ", "   ", "a", "ing", " ▁"]) for _ in range(rng.randint(1, 5))) for _ in range(80))]
+    for text in texts:
+        parts = [sorted(paths(s))[:4] for s in own.segments(text)]
+        wanted = sorted(sum(x for x, _ in c) for c in itertools.product(*parts))[:4]
+        got = own.encode(text, 4)
+        assert [s for s, _ in got] == [-x for x in wanted], text
+        for s in own.segments(text):
+            assert [(-x, ids) for x, ids in own.n_best(s, 4)] == sorted(paths(s))[:4], s
+            assert own.ids[own.cache[s]] == np.array(min(paths(s))[1], "<u2").tobytes()
+        whole = "▁" + text.replace(" ", "▁")
+        assert "".join(own.segments(text)) == whole
+        if len(whole) < 12:
+            assert [s for s, _ in got] == [-x for x, _ in sorted(paths(whole))[:4]], text
+    for text in ("a    b", "    x", "  "):
+        assert own.encode(text, 4)[0][1].tolist() == model.encode(text)
+    assert len(next(own.encode_all([" " * 3000 + "x"], 4))) == 4
+
+
 def test_pieces_round_trip(spark):
     texts = ["", None, " two  spaces ", "É\n日本\t", "x" * 5000]
     encoded = piece_lattice.encode_n_best(frame(spark, texts), with_ids=True)

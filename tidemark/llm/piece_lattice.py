@@ -4,8 +4,9 @@ The lattice of a text has an edge for every piece of the model that matches at a
 byte-fallback edge for a character without a piece. Forward Viterbi gives each position its exact best score from the
 start; a backward A-star search from the end uses these as heuristic, so paths come out best first.
 
-No usable piece holds the space mark after its first character, or a line feed, so the lattice has a cut before each mark
-and around each line feed, and the N best of a text are the N best sums over its segments. Only the N - 1 segments whose second-best path loses least can differ
+No piece holds a space mark after another character, or a line feed, so the lattice has a cut before each mark that
+follows no mark and around each line feed: a run of marks and its word are one segment, and the N best of a text are the
+N best sums over its segments. The model gives the bare mark and its runs of marks a score of -1e9 each, and so does the lattice. Only the N - 1 segments whose second-best path loses least can differ
 from their best path in the N best of the text (each of them alone already gives one as good), so A-star runs on those.
 
 Normalisation: a space mark before the text, a mark for each space, nothing else. Edge cases: a null or empty text has no
@@ -28,13 +29,14 @@ from tidemark.llm.common import null_safe_texts, table, tokenizer_path
 MARK = "▁"
 N_BEST = 4
 FALLBACK = 10.0
-#: Pieces with a score this low are never produced by the model and take no part.
-UNUSED = -1e8
+#: Scores this low (runs of marks) do not count for the score of the byte fallback.
+LOW = -1e8
 MAX_SEGMENTS = 600_000
 #: Longer segments, and those with a character without a piece, are searched one by one.
 WIDE = 24
 #: Texts whose new segments are learnt together.
 GROUP = 500
+RUN = re.compile(f"{MARK}+[^{MARK}]*")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,11 +48,11 @@ class Lattice:
 
         model = SentencePieceProcessor(model_file=tokenizer_path(name))
         size = model.get_piece_size()
-        usable = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) and MARK not in model.id_to_piece(i)[1:] and model.get_score(i) > UNUSED]
+        usable = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
         self.pieces = {model.id_to_piece(i): (i, model.get_score(i)) for i in usable}
-        lowest = min(s for _, s in self.pieces.values())
-        self.fallback = lowest - FALLBACK
-        self.pieces[MARK] = (model.piece_to_id(MARK), lowest)  # the bare mark is needed, whatever its score
+        if any(MARK in p.lstrip(MARK) for p in self.pieces):
+            raise ValueError("a piece holds a mark after another character")
+        self.fallback = min(s for _, s in self.pieces.values() if s > LOW) - FALLBACK
         self.longest = max(map(len, self.pieces))
         self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -58,6 +60,7 @@ class Lattice:
         self.keys, self.key_ids, self.key_scores = self.hashed()
         self.cuts = not any("\n" in p for p in self.pieces)
         self.cache: dict[str, int] = {}
+        self.options: dict[tuple[int, int], list] = {}
         self.texts: list[str] = []
         self.ids: list[bytes] = []
         self.score, self.loss = np.zeros(1 << 12), np.zeros(1 << 12)
@@ -77,8 +80,8 @@ class Lattice:
         return np.array(h, np.uint64), np.array(i, np.int64), np.array(score)
 
     def segments(self, text: str) -> list[str]:
-        """The text between the lattice's cuts: before each mark and, as no piece holds a line feed, around those."""
-        parts = [MARK + s for s in text.replace(" ", MARK).split(MARK)]
+        """The text between the lattice's cuts: before each run of marks and, as no piece holds a line feed, around those."""
+        parts = RUN.findall(MARK + text.replace(" ", MARK))
         if not self.cuts or "\n" not in text:
             return parts
         return [q for p in parts for q in (re.split("(\n)", p) if "\n" in p else (p,)) if q]
@@ -137,6 +140,8 @@ class Lattice:
             self.cache[group[j]] = place
             self.texts.append(group[j])
             self.ids.append(raw[2 * (n * (j + 1) - c) : 2 * n * (j + 1)])
+        for place in (k + np.flatnonzero(self.loss[k : k + len(some)] == 0)).tolist():
+            self.ids[place] = np.array(self.n_best(self.texts[place], 1)[0][1], "<u2").tobytes()
 
     def edges(self, text: str, start: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """(end, score, ids) of the edges that leave a position."""
@@ -199,22 +204,34 @@ class Lattice:
     def n_best(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of one segment, by backward A-star with the forward scores as heuristic."""
         into, best = self.forward(text)
-        heap: list = [(-best[len(text)], (), len(text), 0.0)]
+        # Equal scores go by the place from the end, then by the ids, which piece and rank of the rest order alike; a
+        # place's first n rests are enough for the n best.
+        heap: list = [(-best[len(text)], -len(text), (), 0, 0.0, None)]
+        seen = [0] * (len(text) + 1)
         out: list[tuple[float, tuple[int, ...]]] = []
-        while heap and (len(out) < n or -heap[0][0] >= out[n - 1][0]):
-            f, ids, at, done = heapq.heappop(heap)
+        while heap and len(out) < n:
+            _, at, own, _, done, rest = heapq.heappop(heap)
+            rank = seen[-at]
+            if rank == n:
+                continue
+            seen[-at] += 1
+            node = (own, rest)
             if at == 0:
-                out.append((done, ids))
-                if len(out) >= 8 * n + 8:  # equal scores beyond any use
-                    break
+                ids: list[int] = []
+                while node:
+                    ids += node[0]
+                    node = node[1]
+                out.append((done, tuple(ids)))
                 continue
-            for start, s, own in into[at]:
-                heapq.heappush(heap, (-(best[start] + s + done), own + ids, start, done + s))
-        return sorted(out, key=lambda x: (-x[0], x[1]))[:n]
+            for start, s, own in into[-at]:
+                heapq.heappush(heap, (-(best[start] + s + done), -start, own, rank, done + s, node))
+        return out
 
     def number(self, segment: str) -> int:
         """Place of a segment in the tables, which it enters when first seen."""
         ids, best, second = self.best_two(segment)
+        if best == second:
+            ids = self.n_best(segment, 1)[0][1]
         k = len(self.ids)
         if k == len(self.score):
             self.score, self.loss = (np.concatenate((x, np.zeros(len(x)))) for x in (self.score, self.loss))
@@ -229,6 +246,7 @@ class Lattice:
         for lo in range(0, len(texts), GROUP):
             if len(self.ids) > MAX_SEGMENTS:
                 self.cache.clear()
+                self.options.clear()
                 self.texts.clear()
                 self.ids.clear()
             group = [self.segments(t) if t else [] for t in texts[lo : lo + GROUP]]
@@ -253,8 +271,10 @@ class Lattice:
         near = near[np.isfinite(loss[near])]
         sums: list[tuple[float, tuple]] = [(0.0, ())]
         for i in near.tolist():
-            own = self.n_best(self.texts[places[i]], n)
-            options = [(s - own[0][0], ids) for s, ids in own]
+            options = self.options.get((places[i], n))
+            if options is None:
+                own = self.n_best(self.texts[places[i]], n)
+                options = self.options[places[i], n] = [(s - own[0][0], ids) for s, ids in own]
             sums = heapq.nsmallest(n, ((x - d, (*c, (i, ids))) for x, c in sums for d, ids in options), key=lambda x: x[0])
         out = []
         for x, changes in sums:
