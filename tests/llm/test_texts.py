@@ -139,6 +139,15 @@ def test_field_finds_what_patterns_miss(spark):
     assert not any(secret_scan.scan_text(t, field)[1] for t in clean)
 
 
+def test_field_scores_words_of_letters(spark):
+    field = secret_scan.train(frame(spark, ["plain words only " * 20] * 20))
+    hit = {"app password is abcdefghijklmnop": "abcdefghijklmnop", "Bearer QwErTyUiOpAsDfGhJk": "QwErTyUiOpAsDfGhJk", "the passphrase: correct horse battery staple": "correct horse battery staple"}
+    for text, secret in hit.items():
+        assert any(text[a:b] == secret for a, _, b in secret_scan.scan_text(text, field)[1]), text
+    for text in ("the password is required for each user", "please change your password on the new office login", "our key people in JavaScript development"):
+        assert not secret_scan.scan_text(text, field)[1], text
+
+
 def test_n_best_equals_all_paths():
     rng, own = random.Random(5), piece_lattice.Lattice()
 
