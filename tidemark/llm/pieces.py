@@ -1,7 +1,10 @@
 """Exact token ids through the tokenizers library, one library call per distinct piece and worker.
 
 A text is cut only where the tokenizer itself always cuts, so joining the pieces' ids equals encoding the whole
-text. The cache of a Python worker outlives its tasks; it is emptied when it holds MAX_PIECES entries.
+text. The cache of a Python worker outlives its tasks, as the next task reads much the same words. It has two
+generations: when the younger one has MAX_BYTES it becomes the older one, whose pieces stay only if they are seen again,
+so a worker keeps twice that at most and the frequent pieces survive. Texts are taken in groups of GROUP characters, and
+a text that alone has more is encoded by the library, so one batch cannot overshoot the bound by more than a group.
 """
 
 from __future__ import annotations
@@ -13,7 +16,10 @@ import numpy as np
 
 from tidemark.llm.common import tokenizer_path
 
-MAX_PIECES = 1_500_000
+MAX_BYTES = 128 << 20
+GROUP = 1 << 21
+#: What Python and the dictionary take for an entry besides its characters and ids.
+ENTRY = 180
 
 #: White space other than a single space or line feed, or two white-space characters in a row.
 ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0  -     　\x1c-\x1f​﻿]|[ \n]{2}")
@@ -33,6 +39,8 @@ class Encoder:
         self.library.encode_special_tokens = True
         self.keeps_space = keeps_space
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
@@ -41,7 +49,11 @@ class Encoder:
         for i in range(0, len(pieces), 4096):
             part = pieces[i : i + 4096]
             for piece, e in zip(part, self.library.encode_batch_fast([self.as_text(p) for p in part], add_special_tokens=False)):
-                self.cache[piece] = np.array(e.ids, np.uint16).tobytes()
+                self.keep(piece, np.array(e.ids, np.uint16).tobytes())
+
+    def keep(self, piece: str, ids: bytes) -> None:
+        self.cache[piece] = ids
+        self.held += ENTRY + len(piece) + len(ids)
 
     def as_text(self, piece: str) -> str:
         """A leading space stands for none, since most pieces follow a space."""
@@ -59,13 +71,30 @@ class Encoder:
         return [f"\0{first}", *rest]
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.cache) > MAX_PIECES:
-            self.cache.clear()
-        cut = [self.split(t) if t else [] for t in texts]
-        have = self.cache
+        out: list[np.ndarray] = []
+        group, size = [], 0
+        for text in texts:
+            if group and size + len(text) > GROUP:
+                out += self.encode(group)
+                group, size = [], 0
+            group.append(text)
+            size += len(text)
+        return out + self.encode(group)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [None if len(t) > GROUP else self.split(t) if t else [] for t in texts]
+        if self.held > MAX_BYTES:
+            self.cache, self.older, self.held = {}, self.cache, 0
+        have, older = self.cache, self.older
         new = {p for pieces in cut if pieces for p in pieces if p not in have}
         if new:
-            self.learn(list(new))
+            unknown = []
+            for p in new:
+                if (ids := older.get(p)) is None:
+                    unknown.append(p)
+                else:
+                    self.keep(p, ids)
+            self.learn(unknown)
         get = have.__getitem__
         return [self.whole(t) if pieces is None else np.frombuffer(b"".join(map(get, pieces)), np.uint16) for t, pieces in zip(texts, cut)]
 
