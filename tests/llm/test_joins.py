@@ -69,6 +69,34 @@ def test_ngram_join_equals_all_pairs(spark, seed, n, percent):
     assert len(set(plain_components(len(texts), links))) < len(texts)
 
 
+def test_ngram_join_of_a_group_at_the_threshold(spark):
+    """Copies of one text, each with its own changes and some with shared ones: most pairs are just below or above the line."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, texts = [word() for _ in range(120)], []
+    shared = [(rng.randrange(120), word()) for _ in range(6)]
+    for i in range(220):
+        copy = list(base)
+        for at, w in rng.sample(shared, rng.randint(0, 4)):
+            copy[at] = w
+        for _ in range(rng.randint(0, 4)):
+            copy[rng.randrange(120)] = word()
+        texts.append(" ".join(copy))
+    sets = plain_sets(texts, 4)
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    wanted = plain_components(len(texts), links)
+    join = ngram_join.NgramJoin(frame(spark, texts))
+    assert [r.component_id for r in sorted(join.result().collect())] == wanted
+    assert 1 < len(set(wanted)) < 200
+
+
+def test_ngram_join_of_repeated_ids(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (5, a), (3, b + " more"), (9, c), (9, c)]
+    got = ngram_join.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string")).result().collect()
+    assert sorted(map(tuple, got)) == [(3, 28, 3), (5, 27, 3), (5, 27, 3), (5, 27, 3), (9, 27, 9), (9, 27, 9)]
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.NgramJoin(frame(spark, []).limit(0)).result().collect() == []
     odd = spark.createDataFrame([(None, "a b c d"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")

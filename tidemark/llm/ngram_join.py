@@ -2,20 +2,27 @@
 
 A document is its set of distinct n-word shingles. All shingles have one global order: by the document-frequency class
 of a fixed-size count sketch (so shingles that many documents share come last), then by hash. The order is cut into
-fragments; a document's set is cut with it.
-
-1. Texts with equal sets form classes; one document stands for each.
-2. By the prefix principle two sets with a Jaccard similarity of t share one of their (1 - t) n + 1 first shingles.
-   Each prefix shingle proposes pairs. Of two sets, the one whose prefix ends first shares with the other only what both
-   prefixes share and what follows its own prefix, so pairs with too few prefix shingles in common are dropped.
-3. A proposed pair's overlap is counted in every fragment separately and summed per pair; the exact test follows.
-4. Pairs are proposed in rounds. In a first round each shingle proposes only (its first document, each other one). In
-   the second it proposes every pair whose documents still are in different components. So groups of thousands of
-   near copies are linked without listing all their pairs, and no link between different components is lost.
-
-Hashes have 58 bits or more: a collision may change an intersection by one. Edge cases: texts that are null, empty or
-without words have an empty set and link with nothing; texts with fewer words than n have one shingle; rows without
-doc_id are dropped; rows that repeat a doc_id count as one document whose rows reach each other. Extra columns are ignored.
+fragments; a document's set is cut with it, and whatever is counted of two sets is counted in every fragment apart and
+summed per pair. The first fragments, as far as a set's prefix reaches, also propose the pairs.
+
+1. Texts with equal sets are one node, named by a 64-bit hash of the set.
+2. By the prefix principle two sets with a Jaccard similarity of t share one of their (1 - t) n + 1 first shingles. In a
+   first round each prefix shingle proposes only (its smallest node, each other one): stars, so a group of thousands of
+   near copies makes no list of pairs. Proposed pairs are counted by fragment; links give components.
+3. Only nodes with a prefix shingle that two components share can still have a link that matters. They are dealt into
+   groups: a node follows the smaller node that it shares most prefix shingles with, up to a root. Within a group sets
+   are replaced by their differences from the root's set, taken by fragment. Symmetric differences of sets are those of
+   the differences, so two sets link only where these share half as much as they exceed the bound by; what most of a
+   group has falls out, and the rarest differences propose the pairs by the prefix and position bounds. Features that one
+   component alone has count as unshared. A pair too close for any difference to be shared is linked through the root.
+4. Pairs from different groups share a prefix shingle; groups meet in it first, then their nodes, under the same bounds.
+
+No link between different components is lost, and links within a component found before are not looked for: links() is
+a connecting subset of all links. Hashes have 58 bits or more: a collision may change an intersection by one.
+
+Edge cases: texts that are null, empty or without words have an empty set and link with nothing; texts with fewer words
+than n have one shingle; rows without doc_id are dropped; rows that repeat a doc_id count as one document whose rows reach
+each other, each with its own set size. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,14 +33,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import components, cut, discard, mix64, release, stash, table, words_of
 
 N = 4
 PERCENT = 85
-FRAGMENTS = 4
+FRAGMENTS = 5
 CHUNK = 1 << 18
 #: Texts that are turned into sets at a time.
 GROUP = 1000
@@ -142,19 +149,22 @@ def sketch_bits(docs: DataFrame) -> int:
     return int(min(24, max(18, math.ceil(math.log2(max(size, 1) / 256)))))
 
 
+def set_name(s: np.ndarray) -> int:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
 class NgramJoin:
-    """Set sizes, links and components of the documents' shingle sets at percent or more."""
+    """Set sizes, connecting links and components of the documents' shingle sets at percent or more."""
 
-    def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT):
-        self.docs, self.n, self.percent = docs.select("doc_id", "text").where("doc_id IS NOT NULL"), n, percent
+    def __init__(self, docs: DataFrame, n: int = N, percent: int = PERCENT, fragments: int = FRAGMENTS):
+        self.docs, self.n, self.percent, self.fragments = docs.select("doc_id", "text").where("doc_id IS NOT NULL"), n, percent, fragments
         self.spark, self.bits = docs.sparkSession, sketch_bits(docs)
         self.scanned = cut(self.scan())
-        self.sizes = self.scanned.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "hi", "lo")
+        self.sizes = self.scanned.where("doc_id IS NOT NULL").select("doc_id", "n_shingles", "node")
         codes = merge_slices(self.scanned.where("slice IS NOT NULL").select("slice", "counts"), self.bits)
         usual = int(np.percentile(codes[codes > 0], 75)) + 1 if codes.any() else 1
         self.order = self.spark.sparkContext.broadcast((codes, usual))
-        classes = self.sizes.where("n_shingles > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"))
-        self.classes = self.sizes.join(classes, ["hi", "lo"]).select("doc_id", "rep")
+        self.nodes = cut(self.sizes.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.count("*").alias("copies")))
 
     def scan(self) -> DataFrame:
         n, bits = self.n, self.bits
@@ -162,130 +172,206 @@ class NgramJoin:
         def run(batches):
             sketch = Sketch(bits)
             for batch in batches:
-                size, hi, lo = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
+                size, node = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
                 for at in range(0, batch.num_rows, GROUP):
                     for i, s in shingle_sets(batch.column("text").slice(at, GROUP).to_pylist(), n):
                         if len(s):
-                            size[at + i] = len(s)
-                            hi[at + i], lo[at + i] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
+                            size[at + i], node[at + i] = len(s), set_name(s)
                             sketch.add(s)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(hi), pa.array(lo), pa.nulls(len(size), pa.int64()), pa.nulls(len(size), pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(node), pa.nulls(len(size), pa.int64()), pa.nulls(len(size), pa.binary())], names=names)
             rows = list(sketch.slices())
             k = len(rows)
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(3)), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=names)
 
-        names = ["doc_id", "n_shingles", "hi", "lo", "slice", "counts"]
-        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, hi long, lo long, slice long, counts binary")
+        names = ["doc_id", "n_shingles", "node", "slice", "counts"]
+        return self.docs.mapInArrow(run, "doc_id long, n_shingles long, node long, slice long, counts binary")
 
-    def ordered_sets(self, wanted, make, schema: str) -> DataFrame:
-        """make(doc_id, sorted keys) -> columns, over the texts whose doc_id is in the bitmap."""
+    def ordered_sets(self, wanted: DataFrame, make, schema: str) -> DataFrame:
+        """make((node, sorted keys)) -> batches, over one text of each wanted node; a few others may come with them."""
         n, bits, order = self.n, self.bits, self.order
-        wanted = self.spark.sparkContext.broadcast(wanted)
+        wanted = self.spark.sparkContext.broadcast(bitmap(wanted.join(self.nodes, "node").select("rep"), max(20, self.bits)))
 
         def run(batches):
             codes, usual = order.value
-            here = wanted.value
+            here, seen = wanted.value, set()
             shift = np.uint64(64 - int(math.log2(len(here))))
+
+            def fresh(texts):
+                for _, s in shingle_sets(texts, n):
+                    if len(s) and (node := set_name(s)) not in seen:
+                        seen.add(node)
+                        yield node, order_keys(s, codes, bits, usual)
+
             for batch in batches:
-                ids = batch.column("doc_id").to_numpy()
-                keep = np.flatnonzero(here[(mix64(ids.astype(np.uint64)) >> shift).astype(np.int64)])
-                if not len(keep):
-                    continue
+                keep = np.flatnonzero(here[(mix64(batch.column("doc_id").to_numpy().astype(np.uint64)) >> shift).astype(np.int64)])
                 for lo in range(0, len(keep), GROUP):
-                    some = keep[lo : lo + GROUP]
-                    own, texts = ids[some].tolist(), batch.column("text").take(pa.array(some)).to_pylist()
-                    yield from make((own[i], order_keys(s, codes, bits, usual)) for i, s in shingle_sets(texts, n) if len(s))
+                    yield from make(fresh(batch.column("text").take(pa.array(keep[lo : lo + GROUP])).to_pylist()))
 
         return self.docs.mapInArrow(run, schema)
 
     def prefixes(self) -> DataFrame:
-        """(token, doc_id, n): the first keys of every class's set."""
+        """(token, node, n, pos): the first keys of every node's set and their places, from 1."""
         percent = self.percent
 
         def make(sets):
-            tokens, ids, sizes, reps = [], [], [], []
-            for doc, keys in sets:
+            tokens, nodes, sizes = [], [], []
+            for node, keys in sets:
                 p = prefix_length(len(keys), percent)
-                tokens.append(np.partition(keys, p - 1)[:p])
-                ids.append(doc)
+                tokens.append(np.sort(np.partition(keys, p - 1)[:p]))
+                nodes.append(node)
                 sizes.append(len(keys))
-                reps.append(p)
             if tokens:
-                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "doc_id": np.repeat(np.array(ids, np.int64), reps), "n": np.repeat(np.array(sizes, np.int64), reps)})
+                p = [len(t) for t in tokens]
+                yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).astype(np.int64), "node": np.repeat(np.array(nodes, np.int64), p), "n": np.repeat(np.array(sizes, np.int64), p), "pos": np.concatenate([np.arange(1, k + 1) for k in p])})
 
-        reps = self.classes.select("rep").distinct()
-        return self.ordered_sets(bitmap(reps, max(20, self.bits)), make, "token long, doc_id long, n long")
+        return self.ordered_sets(self.nodes.select("node"), make, "token long, node long, n long, pos long")
 
-    def fragments(self, wanted: DataFrame) -> DataFrame:
-        """(doc_id, fragment, keys): the sets of the wanted documents, cut at fixed pivots of the global order."""
-        pivots = np.array([(k << 58) // FRAGMENTS for k in range(1, FRAGMENTS + 1)], np.uint64)
+    def cut_sets(self, wanted: DataFrame) -> DataFrame:
+        """(node, fragment, keys): the sets of the wanted nodes, cut at fixed pivots of the global order."""
+        pivots = np.array([(k << 58) // (self.fragments - 1) for k in range(1, self.fragments)], np.int64)  # the last one holds the frequent classes
 
         def make(sets):
-            ids, frag, keys = [], [], []
-            for doc, s in sets:
+            nodes, frag, keys = [], [], []
+            for node, s in sets:
                 s = np.sort(s).astype(np.int64)
-                for k, part in enumerate(np.split(s, np.searchsorted(s, pivots.astype(np.int64)))):
+                for k, part in enumerate(np.split(s, np.searchsorted(s, pivots))):
                     if len(part):
-                        ids.append(doc)
+                        nodes.append(node)
                         frag.append(k)
                         keys.append(part)
-            if ids:
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "fragment": pa.array(frag, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+            if nodes:
+                yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "fragment": pa.array(frag, pa.int64()), "keys": pa.array(keys, pa.list_(pa.int64()))})
 
-        return self.ordered_sets(bitmap(wanted, max(20, self.bits)), make, "doc_id long, fragment long, keys array<long>")
+        return stash(self.ordered_sets(wanted, make, "node long, fragment long, keys array<long>"))
 
-    def linked(self, pairs: DataFrame) -> DataFrame:
+    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """Those of the pairs (a, b, na, nb) that link: overlaps counted by fragment, then summed by pair."""
-        nodes = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stash(self.fragments(nodes))
-        left = sets.select(F.col("doc_id").alias("a"), "fragment", F.col("keys").alias("ka"))
-        right = sets.select(F.col("doc_id").alias("b"), F.col("fragment"), F.col("keys").alias("kb"))
-        partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("part"))
-        total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("overlap"))
-        found = cut(total.where(f"100 * overlap >= {self.percent} * (na + nb - overlap)").select("a", "b", "overlap"))
-        discard(sets)
+        left = sets.select(F.col("node").alias("a"), "fragment", F.col("keys").alias("ka"))
+        right = sets.select(F.col("node").alias("b"), "fragment", F.col("keys").alias("kb"))
+        partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ka", "kb")).alias("part"))
+        parts = [F.coalesce(F.max(F.when(F.col("fragment") == k, F.col("part"))), F.lit(0)) for k in range(self.fragments)]  # a set may come more than once
+        total = partial.groupBy("a", "b", "na", "nb").agg(sum(parts[1:], parts[0]).alias("overlap"))
+        found = cut(total.where(f"100 * overlap >= {self.percent} * (na + nb - overlap)").select("a", "b"))
         del left, right, partial, total
         release(self.spark)
         return found
 
+    def stars(self, shared: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) of a shingle's smallest node with the others, where enough prefix shingles meet."""
+        met = shared.where("a <> node").groupBy("a", F.col("node").alias("b"), F.col("n").alias("nb")).agg(F.count("*").alias("both"))
+        found = met.join(self.nodes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+        return cut(found.where(self.near("na", "nb")).where(self.enough()).select("a", "b", "na", "nb"))
+
+    def near(self, na: str, nb: str) -> str:
+        return f"100 * least({na}, {nb}) >= {self.percent} * greatest({na}, {nb})"
+
+    def enough(self) -> str:
+        """Of two sets, the one whose prefix ends first shares with the other what both prefixes share and what follows its own."""
+        p = self.percent
+        rest = lambda n: f"({p} * {n} + 99) div 100 - 1"
+        return f"both >= ({p} * (na + nb) + {99 + p}) div {100 + p} - greatest({rest('na')}, {rest('nb')})"
+
+    def roots(self, shared: DataFrame) -> DataFrame:
+        """(node, root): each node follows the smaller one that it shares most prefix shingles with, a quarter at least."""
+        met = shared.where("a <> node").groupBy("node", "n", "a").agg(F.count("*").alias("both"))
+        best = met.groupBy("node", "n").agg(F.max(F.struct("both", "a")).alias("best"))
+        hubs = best.where(f"4 * best.both >= n - ({self.percent} * n + 99) div 100 + 1").select(F.col("node").alias("a"), F.col("best.a").alias("b"))
+        return components(hubs).withColumnRenamed("label", "root")
+
+    def across(self, rest: DataFrame) -> DataFrame:
+        """Pairs (a, b, na, nb) from different groups that share a prefix shingle."""
+        p = self.percent
+        held = rest.select("token", "root").distinct()
+        met = held.alias("x").join(held.alias("y"), "token").where("x.root < y.root").select("token", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
+        one, two = (rest.select("token", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "label"))) for x in "ab")
+        pairs = met.join(one, ["token", "root_a"]).join(two, ["token", "root_b"]).where("label_a <> label_b").where(self.near("n_a", "n_b"))
+        pairs = pairs.where(f"1 + least(n_a - pos_a, n_b - pos_b) >= ({p} * (n_a + n_b) + {99 + p}) div {100 + p}")
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("na"), F.expr("if(a < b, n_b, n_a)").alias("nb"))
+        return pairs.distinct()
+
+    def differences(self, members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(node, root, label, n, added, missing, diff) by fragment: what a set has and its group's root's set has not, and the reverse."""
+        spread = members.groupBy("root").agg((F.count("*") / 512 + 1).cast("int").alias("copies"))
+        own = sets.groupBy("node", "fragment").agg(F.first("keys").alias("keys"))
+        every = members.join(spread, "root").withColumn("salt", F.pmod(F.xxhash64("node"), "copies")).withColumn("fragment", F.explode(F.expr(f"sequence(0L, {self.fragments - 1}L)")))
+        of_root = own.withColumnRenamed("node", "root").join(spread, "root").select("root", "fragment", F.col("keys").alias("root_keys"), F.explode(F.expr("sequence(0L, copies - 1L)")).alias("salt"))
+        both = every.join(own, ["node", "fragment"], "left").join(of_root, ["root", "fragment", "salt"], "left")
+        none = F.expr("cast(array() as array<bigint>)")
+        a, b = F.coalesce("keys", none), F.coalesce("root_keys", none)
+        both = both.withColumn("plus", F.array_except(a, b)).withColumn("minus", F.array_except(b, a))
+        return stash(both.select("node", "root", "label", "n", F.size("plus").alias("added"), F.size("minus").alias("missing"), F.concat("plus", "minus").alias("diff")))
+
+    def within(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links (a, b) with roots, and pairs (a, b, na, nb) from one group, by the differences from its root."""
+        p = self.percent
+        whole = found.groupBy("node", "root", "label", "n").agg(F.sum("added").alias("added"), F.sum("missing").alias("missing"))
+        rooted = whole.where(f"node <> root AND 100 * (n - added) >= {p} * (n + missing)").select(F.col("root").alias("a"), F.col("node").alias("b"))
+        of = found.select("node", "root", "label", F.explode("diff").alias("token"))
+        mixed = of.groupBy("root", "token").agg(F.count("*").alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("root", "token", "held")
+        ranked = of.join(mixed, ["root", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("held", "token")))
+        ranked = ranked.withColumn("shared", F.count("*").over(Window.partitionBy("node")))
+        size = whole.select("node", "n", (F.col("added") + F.col("missing")).alias("s"))
+        first = ranked.join(size, "node").withColumn("pos", F.expr("s - shared + rank")).where(f"pos <= 1 + {100 - p} * n div {p}")
+        first = stash(first.select("root", "token", "node", "label", "n", "s", "pos"))
+        one, two = (first.select("root", "token", F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("label", "n", "s", "pos"))) for x in "ab")
+        pairs = one.join(two, ["root", "token"]).where("a < b AND label_a <> label_b").where(self.near("n_a", "n_b"))
+        pairs = pairs.where(f"2 * (1 + least(s_a - pos_a, s_b - pos_b)) >= s_a + s_b - {100 - p} * (n_a + n_b) div {100 + p}")
+        pairs = pairs.where(f"abs(s_a - s_b) <= {100 - p} * (n_a + n_b) div {100 + p}")
+        pairs = cut(pairs.select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct())
+        rooted = cut(rooted)
+        discard(first)
+        return rooted, pairs
+
     def links(self) -> DataFrame:
-        """Links (a, b) between documents that stand for classes; they connect all that any links connect."""
-        near = f"100 * least(na, nb) >= {self.percent} * greatest(na, nb)"
-        rest_of = lambda n: f"({self.percent} * {n} + 99) div 100 - 1"  # noqa: E731  shingles after the prefix
-        enough = f"both >= ({self.percent} * (na + nb) + {99 + self.percent}) div {100 + self.percent} - greatest({rest_of('na')}, {rest_of('nb')})"
+        """Links (a, b) between nodes; they connect all that any links connect."""
         tokens = self.prefixes()
-        first = tokens.groupBy("token").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("top")).where("top <> a").drop("top")
-        shared = stash(tokens.join(first, "token").select("token", "doc_id", "n", "a"))
+        first = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("top <> a").drop("top")
+        shared = stash(tokens.join(first, "token"))
         del tokens, first
         release(self.spark)
-        proposed = shared.where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b"), F.col("n").alias("nb")).agg(F.count("*").alias("both"))
-        sizes = self.sizes.groupBy(F.col("doc_id").alias("a")).agg(F.max("n_shingles").alias("na"))
-        proposed = cut(proposed.join(sizes, "a").where(near).where(enough).select("a", "b", "na", "nb"))
-        release(self.spark)
-        links = self.linked(proposed)
-        label = components(links)
-        named = shared.select("token", "doc_id", "n").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+        proposed = self.stars(shared)
+        sets = self.cut_sets(self.ends(proposed))
+        links = self.linked(proposed, sets)
+        discard(sets)
+        label, root = components(links), self.roots(shared)
+        named = shared.select("token", "node", "n", "pos").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
-        rest = stash(named.join(mixed, "token"))
+        rest = stash(named.join(mixed, "token").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
         del named, mixed
         discard(shared)
         release(self.spark)
-        one, two = (rest.select("token", F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-        pairs = one.join(two, "token").where("a < b AND label_a <> label_b").where(near)
-        pairs = pairs.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both")).where(enough)
         known = proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = cut(pairs.drop("both").join(known, ["a", "b"], "left_anti"))
-        del one, two, known
+        far = cut(self.across(rest).join(known, ["a", "b"], "left_anti"))
+        members = rest.select("node", "n", "label", "root").distinct()
+        split = members.groupBy("root").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("root")
+        members = cut(members.join(split, "root"))
         discard(rest)
         release(self.spark)
-        return links.select("a", "b").unionByName(self.linked(pairs).select("a", "b"))
+        sets = self.cut_sets(self.ends(far).union(members.select("node")).union(members.select("root")).distinct())
+        found = self.differences(members, sets)
+        rooted, close = self.within(found)
+        discard(found)
+        release(self.spark)
+        more = self.linked(far.unionByName(close.join(known, ["a", "b"], "left_anti")), sets)
+        discard(sets)
+        return links.union(rooted).union(more)
+
+    def ends(self, pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
 
     def result(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every document."""
-        label = components(self.links()).withColumnRenamed("node", "rep")
-        found = self.classes.join(label, "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("found"))
-        found = found.groupBy("doc_id").agg(F.min("found").alias("found"))
-        return self.sizes.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+        held = self.sizes.where("n_shingles > 0")
+        repeated = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").drop("top")
+        same = held.join(repeated, "doc_id").select("a", F.col("node").alias("b"))
+        nodes = cut(self.nodes.join(components(self.links().union(same)), "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label")))
+        least = nodes.groupBy("label").agg(F.min("rep").alias("found"))
+        named = nodes.join(least, "label").select("node", "copies", "found")
+        # At most 4096 nodes can each have more than a 4096th of all rows; the rows of any other node fit one task.
+        most = self.sizes.count() // 4096 + 1
+        hot, other = F.broadcast(named.where(F.col("copies") > most).drop("copies")), named.where(F.col("copies") <= most).drop("copies")
+        out = self.sizes.join(hot, "node").unionByName(self.sizes.join(hot, "node", "left_anti").join(other, "node", "left"), allowMissingColumns=True)
+        return out.select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
