@@ -285,9 +285,10 @@ class NgramJoin:
         met = held.alias("x").join(held.alias("y"), "token").where("x.root < y.root").select("token", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
         one, two = (rest.select("token", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "label"))) for x in "ab")
         pairs = met.join(one, ["token", "root_a"]).join(two, ["token", "root_b"]).where("label_a <> label_b").where(self.near("n_a", "n_b"))
-        pairs = pairs.where(f"1 + least(n_a - pos_a, n_b - pos_b) >= ({p} * (n_a + n_b) + {99 + p}) div {100 + p}")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("na"), F.expr("if(a < b, n_b, n_a)").alias("nb"))
-        return pairs.distinct()
+        names = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("na"), F.expr("if(a < b, n_b, n_a)").alias("nb")]
+        first = F.max(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + 1)
+        met = pairs.groupBy(*names).agg(F.count("*").alias("both"), first.alias("most"))
+        return met.where(self.enough()).where(f"most >= ({p} * (na + nb) + {99 + p}) div {100 + p}").select("a", "b", "na", "nb")
 
     def differences(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """(node, root, label, n, added, missing, diff) by fragment: what a set has and its group's root's set has not, and the reverse."""
@@ -317,7 +318,9 @@ class NgramJoin:
         pairs = one.join(two, ["root", "token"]).where("a < b AND label_a <> label_b").where(self.near("n_a", "n_b"))
         pairs = pairs.where(f"2 * (1 + least(s_a - pos_a, s_b - pos_b)) >= s_a + s_b - {100 - p} * (n_a + n_b) div {100 + p}")
         pairs = pairs.where(f"abs(s_a - s_b) <= {100 - p} * (n_a + n_b) div {100 + p}")
-        pairs = cut(pairs.select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct())
+        last = F.least(F.col("s_a") - F.max("pos_a"), F.col("s_b") - F.max("pos_b"))
+        pairs = pairs.groupBy("a", "b", "n_a", "n_b", "s_a", "s_b").agg((F.count("*") + last).alias("most")).where(f"2 * most >= s_a + s_b - {100 - p} * (n_a + n_b) div {100 + p}")
+        pairs = cut(pairs.select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb")))
         rooted = cut(rooted)
         discard(first)
         return rooted, pairs
