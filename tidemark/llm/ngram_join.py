@@ -15,6 +15,8 @@ summed per pair. The first fragments, as far as a set's prefix reaches, also pro
    the differences, so two sets link only where these share half as much as they exceed the bound by; what most of a
    group has falls out, and the rarest differences propose the pairs by the prefix and position bounds. Features that one
    component alone has count as unshared. A pair too close for any difference to be shared is linked through the root.
+   A group of RECENTRE or more first takes the member nearest to what most members have as its root, which joins most of
+   what there is to join at once.
 4. Pairs from different groups share a prefix shingle; groups meet in it first, then their nodes, under the same bounds.
 
 No link between different components is lost, and links within a component found before are not looked for: links() is
@@ -42,6 +44,8 @@ N = 4
 PERCENT = 85
 FRAGMENTS = 5
 CHUNK = 1 << 18
+#: Groups from this size on look for a better root.
+RECENTRE = 8
 #: Texts that are turned into sets at a time.
 GROUP = 1000
 SLICE = 1 << 16
@@ -302,12 +306,27 @@ class NgramJoin:
         both = both.withColumn("plus", F.array_except(a, b)).withColumn("minus", F.array_except(b, a))
         return stash(both.select("node", "root", "label", "n", F.size("plus").alias("added"), F.size("minus").alias("missing"), F.concat("plus", "minus").alias("diff")))
 
+    def recentred(self, members: DataFrame, found: DataFrame) -> DataFrame:
+        """Members of large groups with the member as root whose set differs least from the shingles that most members have."""
+        large = members.groupBy("root").agg(F.count("*").alias("size")).where(f"size >= {RECENTRE}")
+        of = found.select("node", "root", F.explode("diff").alias("token"))
+        usual = of.groupBy("root", "token").agg(F.count("*").alias("held")).join(large, "root").where("2 * held > size").select("root", "token")
+        usual = of.join(usual, ["root", "token"]).groupBy("node", "root").agg(F.count("*").alias("usual"))
+        size = found.join(large, "root").groupBy("node", "root").agg(F.sum(F.col("added") + F.col("missing")).alias("s"))
+        off = size.join(usual, ["node", "root"], "left").withColumn("off", F.col("s") - 2 * F.coalesce("usual", F.lit(0)))
+        centre = off.groupBy("root").agg(F.min(F.struct("off", "node")).alias("centre"))
+        return cut(members.join(centre, "root").select("node", "n", "label", F.col("centre.node").alias("root")))
+
     def within(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links (a, b) with roots, and pairs (a, b, na, nb) from one group, by the differences from its root."""
         p = self.percent
         whole = found.groupBy("node", "root", "label", "n").agg(F.sum("added").alias("added"), F.sum("missing").alias("missing"))
         rooted = whole.where(f"node <> root AND 100 * (n - added) >= {p} * (n + missing)").select(F.col("root").alias("a"), F.col("node").alias("b"))
-        of = found.select("node", "root", "label", F.explode("diff").alias("token"))
+        rooted = cut(rooted)
+        joined = whole.join(rooted.select(F.col("a").alias("root"), F.col("b").alias("node")), ["root", "node"]).select("root", "label")
+        joined = joined.union(whole.where("node = root").select("root", "label")).distinct().withColumn("joined", F.lit(True))
+        whole = cut(whole.join(joined, ["root", "label"], "left").withColumn("label", F.expr("if(joined, root, label)")).drop("joined"))
+        of = found.select("node", "root", F.explode("diff").alias("token")).join(whole.select("node", "label"), "node")
         mixed = of.groupBy("root", "token").agg(F.count("*").alias("held"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("root", "token", "held")
         ranked = of.join(mixed, ["root", "token"]).withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("held", "token")))
         ranked = ranked.withColumn("shared", F.count("*").over(Window.partitionBy("node")))
@@ -321,7 +340,6 @@ class NgramJoin:
         last = F.least(F.col("s_a") - F.max("pos_a"), F.col("s_b") - F.max("pos_b"))
         pairs = pairs.groupBy("a", "b", "n_a", "n_b", "s_a", "s_b").agg((F.count("*") + last).alias("most")).where(f"2 * most >= s_a + s_b - {100 - p} * (n_a + n_b) div {100 + p}")
         pairs = cut(pairs.select("a", "b", F.col("n_a").alias("na"), F.col("n_b").alias("nb")))
-        rooted = cut(rooted)
         discard(first)
         return rooted, pairs
 
@@ -352,8 +370,11 @@ class NgramJoin:
         release(self.spark)
         sets = self.cut_sets(self.ends(far).union(members.select("node")).union(members.select("root")).distinct())
         found = self.differences(members, sets)
-        rooted, close = self.within(found)
+        moved = self.recentred(members, found)
+        again = self.differences(moved, sets)
+        rooted, close = self.within(found.join(moved.select("node"), "node", "left_anti").unionByName(again))
         discard(found)
+        discard(again)
         release(self.spark)
         more = self.linked(far.unionByName(close.join(known, ["a", "b"], "left_anti")), sets)
         discard(sets)
