@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -65,6 +67,24 @@ def test_licences_equal_all_windows():
         assert max((x[3] for x in got), default=0.0) == pytest.approx(best if best >= 0.8 else 0.0)
 
 
+def test_licences_in_long_texts(spark):
+    templates = license_scan.Templates(license_scan.TEMPLATES)
+    once = license_scan.TEMPLATES["MIT"]
+    text = "\n\nfoo bar\n\n".join([once] * 900)
+    began = time.perf_counter()
+    found = templates.find(text)
+    assert len(text) > 900_000 and time.perf_counter() - began < 60
+    assert [(text[a:b], n, d) for a, b, n, d in found] == [(found[0] and text[found[0][0] : found[0][1]], "MIT", 1.0)] * 900
+    assert license_scan.scan(frame(spark, []).limit(0)).collect() == []
+    assert len({tuple(r)[1:] for r in license_scan.scan(frame(spark, [once] * 3)).collect()}) == 1
+
+
+def test_licences_keep_versions_apart():
+    templates = license_scan.Templates(license_scan.TEMPLATES)
+    lines = {"Licensed under the GNU General Public License, version 2.": "GPL-2.0-notice", "licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0-notice", "Licensed under CC BY 4.0": "CC-BY-4.0-short", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0-short"}
+    assert [[x[2] for x in templates.find(f"some words {t} more words")] for t in lines] == [[n] for n in lines.values()]
+
+
 def test_licences_in_documents(spark):
     t = license_scan.TEMPLATES
     texts = ["", None, "no terms here", f"foo bar\n{t['MIT']}\nbaz", f"// {t['MIT-notice']}.\n// {t['GPL-3.0-notice']}", t["Apache-2.0-header"].upper()]
@@ -99,7 +119,26 @@ def test_toxicity_held_out(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
     assert not any(p for y, p in held if not y)
     assert (got[1000].toxic, got[1001].toxic, got[1002].toxic, got[1003].toxic) == (True, False, False, False)
-    assert got[1000].p_insult > 0.5 > got[1001].p_insult
+    assert max(got[1000].p_kind_1, got[1000].p_kind_2) > 0.5 > max(got[1001].p_kind_1, got[1001].p_kind_2)
+    place = {int(h): j for j, h in enumerate(chain.hashes)}
+    for i in (1000, 1001, 1003, 0, 1, 2, 3):  # the chain by hand, word by word
+        words = re.split(r"[^\x00-\x1f0-9A-Za-z\x7f]+", {x[0]: x[1] for x in docs + extra}[i])
+        own = {place[h] for w in words if w for h in map(int, (x[0] for x in list(toxicity.text_features([w]))[0][2:])) if h in place}
+        before = []
+        for w in chain.weights:
+            k = len(chain.hashes)
+            z = sum(w[j] for j in own) + sum(a * b for a, b in zip(w[k:-1], before)) + w[-1]
+            before.append(1 / (1 + math.exp(-z)))
+        assert before == pytest.approx([got[i].p_kind_1, got[i].p_kind_2, got[i].p_toxic], abs=1e-9)
+
+
+def test_kinds_part_toxic_texts_by_their_words():
+    rows = np.repeat(np.arange(12), 3)
+    cols = np.concatenate([np.arange(3) + (0 if i % 2 else 3) for i in range(12)])
+    toxic = np.array([1.0] * 8 + [0.0] * 4)
+    found = toxicity.kinds(rows, cols, toxic, 6)
+    assert (found[8:] == -1).all() and len(set(found[:8:2])) == len(set(found[1:8:2])) == 1 and found[0] != found[1]
+    assert (toxicity.kinds(rows, cols, np.zeros(12), 6) == -1).all()
 
 
 def test_toxicity_without_labels(spark):

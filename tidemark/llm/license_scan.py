@@ -3,12 +3,15 @@
 Normalised words are runs of ASCII letters and digits, lower-cased. For every template the passages with a Dice coefficient
 of THRESHOLD or more are searched among all windows of words of the text. Two bounds that follow from the threshold
 prune: a window has between t / (2 - t) and (2 - t) / t times the template's bigrams, so templates and windows of
-other sizes are never compared; and it shares at least t / (2 - t) of them, so that many of the template's bigrams must
+other sizes are never compared (a window is at most as long as that, repeats counted, so a licence given twice is two
+passages); and it shares at least t / (2 - t) of them, so that many of the template's bigrams must
 lie close enough together, and a text without any of the signature words (chosen so that no match can do without) is
-passed over at once. Best passages win; those that overlap a better one are dropped.
+passed over at once. Each start offers its best window; best passages win; those that overlap a better one are dropped.
+Starts are taken in blocks of a fixed size, so time is the text's length times the template's and memory in proportion to
+the text.
 
 Edge cases: null or empty texts have no match; ties go to the longer passage, then the earlier, then the template's name;
-repeated rows each get their row; extra columns are ignored.
+repeated rows each get their row; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import null_safe_texts, table
 
 THRESHOLD = 0.8
+#: Places of windows that are looked at together.
+BLOCK = 1 << 20
 WORD = re.compile("[A-Za-z0-9]+")
 
 # Public licence texts and notices.
@@ -46,6 +51,20 @@ TEMPLATES = {
     "BSD-2-Clause": f"{BSD_CONDITIONS} {BSD_DISCLAIMER}",
     "BSD-3-Clause": f"{BSD_CONDITIONS} 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {BSD_DISCLAIMER}",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "AGPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "BSL-1.0-notice": "Distributed under the Boost Software License, Version 1.0",
+    "CC-BY-4.0-short": "Licensed under CC BY 4.0",
+    "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
+    "CC-BY-SA-4.0-short": "Licensed under CC BY-SA 4.0",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
@@ -91,23 +110,32 @@ class Templates:
                 return [*chosen, *sorted({w for b in short for w in b})]
             chosen.append(max(sorted(count), key=count.__getitem__))
 
-    def windows(self, pairs: list[tuple[str, str]], name: str):
-        """(Dice coefficient, first, last bigram) of every window that starts and ends with a bigram of the template."""
+    def windows(self, codes: np.ndarray, before: np.ndarray, name: str, known: dict[tuple[str, str], int]):
+        """(Dice coefficients, first, last bigrams): the best window of every start, both ends being bigrams of the template.
+
+        codes: the text's bigrams as numbers; before: where each bigram stood last, -1 at first; known: their numbers.
+        """
         wanted, need, largest = self.sets[name], self.needed[name], self.largest[name]
-        hits = [i for i, p in enumerate(pairs) if p in wanted]
-        for k in range(len(hits) - need + 1):
-            if len(set(pairs[hits[k] : hits[k + need - 1] + 1])) > largest:
-                continue
-            seen, shared, at = set(), set(), hits[k]
-            for h in hits[k:]:
-                seen.update(pairs[at : h + 1])
-                at = h + 1
-                if len(seen) > largest:
-                    break
-                shared.add(pairs[h])
-                dice = 2 * len(shared) / (len(seen) + len(wanted))
-                if dice >= self.threshold:
-                    yield dice, hits[k], h
+        marks = [known[p] for p in wanted if p in known]
+        if len(marks) < need:
+            return
+        table_ = np.zeros(len(known), bool)
+        table_[marks] = True
+        hit = np.append(table_[codes], np.zeros(largest, bool))  # no window ends past the text
+        before = np.append(before, np.full(largest, len(codes)))
+        sums = np.concatenate(([0], np.cumsum(hit)))
+        starts = np.flatnonzero(hit[: len(codes)])
+        starts = starts[sums[starts + largest] - sums[starts] >= need]
+        step, span = max(1, BLOCK // largest), np.arange(largest)
+        for lo in range(0, len(starts), step):
+            start = starts[lo : lo + step]
+            at = start[:, None] + span
+            new, here = before[at] < start[:, None], hit[at]
+            dice = np.where(here, 2 * np.cumsum(new & here, 1, dtype=np.int32) / (np.cumsum(new, 1, dtype=np.int32) + len(wanted)), 0)
+            last = largest - 1 - dice[:, ::-1].argmax(1)
+            best = dice[np.arange(len(start)), last]
+            keep = best >= self.threshold
+            yield best[keep], start[keep], start[keep] + last[keep]
 
     def find(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, template, Dice coefficient) of the best passages, in order; code points, end exclusive."""
@@ -115,14 +143,24 @@ class Templates:
         if not any(w in low for w in self.signature):
             return []
         spans = [m.span() for m in WORD.finditer(text)]
-        pairs = bigrams([text[a:b].lower() for a, b in spans])
-        found = [(-dice, a - b, a, name, b) for name in self.sets for dice, a, b in self.windows(pairs, name)]
+        known: dict[tuple[str, str], int] = {}
+        codes = np.array([known.setdefault(p, len(known)) for p in bigrams([text[a:b].lower() for a, b in spans])], np.int64)
+        order = np.argsort(codes, kind="stable")
+        before = np.full(len(codes), -1)
+        same = np.flatnonzero(codes[order[1:]] == codes[order[:-1]])
+        before[order[same + 1]] = order[same]
+        found = [(name, *w) for name in self.sets for w in self.windows(codes, before, name, known)]
+        if not found:
+            return []
+        names = np.repeat([name for name, *_ in found], [len(w[1]) for w in found])
+        dice, first, last = (np.concatenate([w[k] for w in found]) for k in (1, 2, 3))
         taken: list[tuple[int, int, str, float]] = []
-        used: list[tuple[int, int]] = []
-        for dice, _, a, name, b in sorted(found):
-            if not any(x <= b + 1 and a <= y + 1 for x, y in used):
-                used.append((a, b))
-                taken.append((spans[a][0], spans[b + 1][1], name, -dice))
+        free = np.ones(len(codes) + 2, bool)
+        for i in np.lexsort((names, first, first - last, -dice)).tolist():
+            a, b = int(first[i]), int(last[i])
+            if free[a] and free[b + 1] and free[a : b + 2].all():
+                free[a : b + 2] = False
+                taken.append((spans[a][0], spans[b + 1][1], str(names[i]), float(dice[i])))
         return sorted(taken)
 
 

@@ -5,11 +5,14 @@ plus the probabilities of the categories before it. In training those are out-of
 crc32 of doc_id), so a later model learns from probabilities as good as those it will get; in use they come from the
 models fitted on all training rows.
 
-The labels say toxic or not. The categories before that one are toxic texts with a word of the category's list. Training
-uses at most SAMPLE labelled rows, taken by a hash of doc_id; everything else covers all rows.
+The labels say toxic or not. The categories before that one are KINDS kinds of toxic texts, learnt from the labelled ones by
+spherical k-means over their features, so no list of words is given. Training uses at most SAMPLE labelled rows, those with
+the smallest hashes of their doc_id; features are counted and chosen on the executors, so that a labelled row brings at most
+FEATURES numbers to the driver, whatever its length. Everything else covers all rows.
 
 Edge cases: a null or empty text has no features and gets the intercepts; without labelled rows of both classes nothing is
-learnt and every probability is 0; rows with the same doc_id are judged one by one; extra columns are ignored.
+learnt and every probability is 0; rows with the same doc_id are judged one by one, and where several are labelled each is
+a training row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import null_safe_texts, table, words_of
+from tidemark.llm.common import cut, null_safe_texts, table, words_of
 
 SAMPLE = 8_000
 FOLDS = 5
@@ -32,12 +35,8 @@ LEAST_LIFT = 4.0
 REJECT_FROM = 0.5
 CHUNK = 1 << 21
 
-# Words that make a toxic text one of a category.
-WORDS = {
-    "insult": "idiot moron loser clown scum imbecile fool jerk dunce".split(),
-    "contempt": "stupid pathetic worthless disgusting trash garbage dumb filthy vile".split(),
-}
-CATEGORIES = (*WORDS, "toxic")
+KINDS = 2
+CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
 
 
 #: ASCII punctuation separates words as white space does.
@@ -59,10 +58,6 @@ def text_features(texts: list[str]):
         lo = hi
 
 
-def word_hash(word: str) -> int:
-    return int(words_of(np.frombuffer(word.encode(), np.uint8), True)[2][0])
-
-
 def fit(rows: np.ndarray, cols: np.ndarray, n: int, extra: np.ndarray, y: np.ndarray, features: int, steps: int = 250) -> np.ndarray:
     """Weights (features, extra columns, intercept) of an L2-penalised logistic regression over sparse presence."""
     w, speed = np.zeros(features + extra.shape[1] + 1), np.zeros(features + extra.shape[1] + 1)
@@ -115,60 +110,84 @@ class Chain:
         return out
 
     @classmethod
-    def learnt(cls, sets: list[np.ndarray], toxic: np.ndarray, fold: np.ndarray) -> Chain:
-        """sets: each training row's distinct hashes."""
-        if not len(toxic) or toxic.min() == toxic.max():
+    def learnt(cls, hashes: np.ndarray, rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, fold: np.ndarray) -> Chain:
+        """hashes: the features, ascending; rows, cols: which training row has which feature."""
+        n = len(toxic)
+        if not n or toxic.min() == toxic.max():
             return cls(np.empty(0, np.uint64), [])
-        n = len(sets)
-        every, where = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
-        hashes, inverse = np.unique(every, return_inverse=True)
-        bad = np.bincount(inverse, weights=toxic[where], minlength=len(hashes))
-        rest = np.bincount(inverse, minlength=len(hashes)) - bad
-        lift = ((bad + 0.1) / (toxic.sum() + 1)) / ((rest + 0.1) / (n - toxic.sum() + 1))
-        worth = np.where((bad >= LEAST_TEXTS) & (lift >= LEAST_LIFT), bad * np.log(lift), 0)
-        keep = np.sort(np.argsort(-worth, kind="stable")[:FEATURES])
-        keep = keep[worth[keep] > 0]
-        place = np.full(len(hashes), -1)
-        place[keep] = np.arange(len(keep))
-        cols = place[inverse]
-        rows, cols = where[cols >= 0], cols[cols >= 0]
-        listed = {c: np.array(sorted(map(word_hash, w)), np.uint64) for c, w in WORDS.items()}
-        has = {c: np.bincount(where, weights=np.isin(every, h), minlength=n) > 0 for c, h in listed.items()}
+        kind = kinds(rows, cols, toxic, len(hashes))
         before, weights = np.zeros((n, 0)), []
-        for c in CATEGORIES:
-            y = (toxic.astype(bool) & has.get(c, True)).astype(float)
+        for c in range(len(CATEGORIES)):
+            y = (kind == c).astype(float) if c < KINDS else toxic.astype(float)
             held = np.zeros(n)
             for k in range(FOLDS):
                 train, test = fold != k, fold == k
                 if train.any() and test.any():
                     here = train[rows]
                     renumber = np.cumsum(train) - 1
-                    w = fit(renumber[rows[here]], cols[here], int(train.sum()), before[train], y[train], len(keep))
+                    w = fit(renumber[rows[here]], cols[here], int(train.sum()), before[train], y[train], len(hashes))
                     held[test] = apply(w, rows, cols, n, before)[test]
-            weights.append(fit(rows, cols, n, before, y, len(keep)))
+            weights.append(fit(rows, cols, n, before, y, len(hashes)))
             before = np.column_stack((before, held))
-        return cls(hashes[keep], weights)
+        return cls(hashes, weights)
+
+
+def kinds(rows: np.ndarray, cols: np.ndarray, toxic: np.ndarray, features: int, rounds: int = 20) -> np.ndarray:
+    """The kind of each toxic row, -1 for the others: spherical k-means from the rows that lie farthest apart."""
+    out, bad = np.full(len(toxic), -1), np.flatnonzero(toxic)
+    x = np.zeros((len(bad), features), np.float32)
+    place = np.full(len(toxic), -1)
+    place[bad] = np.arange(len(bad))
+    here = place[rows] >= 0
+    x[place[rows[here]], cols[here]] = 1
+    x /= np.maximum(1, np.sqrt(x.sum(1, keepdims=True)))  # rows of ones and zeros: the root of the sum is the length
+    centres = x[[int(x.sum(1).argmax())]] if len(bad) else x
+    while 0 < len(centres) < min(KINDS, len(bad)):
+        centres = np.concatenate((centres, x[[int((x @ centres.T).max(1).argmin())]]))
+    for _ in range(rounds if len(bad) else 0):
+        own = (x @ centres.T).argmax(1)
+        out[bad] = own
+        sums = np.array([x[own == k].sum(0) if (own == k).any() else centres[k] for k in range(len(centres))])
+        centres = sums / np.maximum(1e-12, np.linalg.norm(sums, axis=1, keepdims=True))
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """The chain from at most sample labelled rows; only their ids and hashes reach the driver."""
+    """The chain from at most sample labelled rows; features are chosen by how much more often toxic rows have them."""
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    every = max(1, -(-known.count() // sample))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).limit(sample)
+    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
         for batch in batches:
             texts = null_safe_texts(batch.column("text"))
-            sets = [b""] * len(texts)
+            sets: list = [[]] * len(texts)
             for lo, bound, word, head in text_features(texts):
                 for i, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist())):
-                    sets[lo + i] = np.unique(np.concatenate((word[a:b], head[a:b]))).tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "toxic", "hashes"])
+                    sets[lo + i] = np.unique(np.concatenate((word[a:b], head[a:b]))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "toxic", "hashes"])
 
     joined = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most sample rows of two integers
-    got = joined.mapInArrow(run, "doc_id long, toxic long, hashes binary").orderBy("doc_id").limit(sample).collect()
+    rows = cut(joined.mapInArrow(run, "doc_id long, toxic long, hashes array<long>").withColumn("toxic", F.expr("int(toxic <> 0)")))
+    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
+    if not total.n or not total.bad or total.bad == total.n:
+        return Chain(np.empty(0, np.uint64), [])
+    held = rows.select("toxic", F.explode("hashes").alias("hash")).groupBy("hash").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("rest")).where(f"bad >= {LEAST_TEXTS}")
+    held = held.withColumn("lift", (F.col("bad") + 0.1) / (total.bad + 1) / ((F.col("rest") + 0.1) / (total.n - total.bad + 1))).where(f"lift >= {LEAST_LIFT}")
+    chosen = held.orderBy((F.col("bad") * F.log("lift")).desc(), "hash").limit(FEATURES).select("hash").collect()  # at most FEATURES rows
+    features = np.sort(np.array([r.hash for r in chosen], np.int64).astype(np.uint64))
+    shared = docs.sparkSession.sparkContext.broadcast(features)
+
+    def columns(batches):
+        chain = Chain(shared.value, [])
+        for batch in batches:
+            cols = [chain.columns(np.array(h, np.int64).astype(np.uint64)) for h in batch.column("hashes").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array([c[c >= 0].tolist() for c in cols], pa.list_(pa.int32()))], names=["doc_id", "toxic", "cols"])
+
+    got = rows.mapInArrow(columns, "doc_id long, toxic int, cols array<int>").orderBy("doc_id", "toxic", F.hash("cols")).collect()  # the sample, FEATURES numbers a row at most
     fold = np.array([zlib.crc32(str(r.doc_id).encode()) % FOLDS for r in got])
-    return Chain.learnt([np.frombuffer(r.hashes, np.uint64) for r in got], np.array([r.toxic != 0 for r in got], float), fold)
+    where = np.repeat(np.arange(len(got)), [len(r.cols) for r in got])
+    cols = np.array([c for r in got for c in r.cols], np.int64)
+    return Chain.learnt(features, where, cols, np.array([r.toxic for r in got], float), fold)
 
 
 def judge(docs: DataFrame, chain: Chain) -> DataFrame:
