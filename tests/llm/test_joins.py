@@ -143,6 +143,19 @@ def test_tables_find_pairs_at_the_threshold(vectors, shift, bound):
     assert planes.shape[1] // width <= bound
 
 
+def test_vectors_of_each_length_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = rng.normal(size=12), rng.normal(size=7), rng.normal(size=12)
+    rows = [(i, a) for i in range(20)] + [(30, b), (31, b * 2), (40, c), (40, a), (50, c), (51, np.zeros(12))]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    forty = got[40]  # one of its two vectors counts
+    assert (forty.n_links, forty.component_id) in ((20, 0), (1, 40))
+    assert all(got[i].component_id == 0 and got[i].n_links == 19 + (forty.component_id == 0) for i in range(20))
+    assert [(got[i].n_links, got[i].component_id) for i in (30, 31, 51)] == [(1, 30), (1, 30), (0, 51)]
+    assert got[50].n_links == (forty.component_id == 40)
+
+
 def test_no_vectors(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(empty).collect() == []

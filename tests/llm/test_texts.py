@@ -7,6 +7,7 @@ import math
 import random
 import re
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -274,6 +275,34 @@ def test_filter_counts_equal_sets():
     assert all((own.contain(h[j]) >> np.uint64(j) & np.uint64(1)).all() for j in range(2))
 
 
+def test_languages_by_the_query(spark, tmp_path):
+    rng = random.Random(4)
+    alphabets = ["abcdefg", "nopqrst", "uvwxyzh"]
+    rows = [(i, " ".join("".join(rng.choice(alphabets[i % 3]) for _ in range(5)) for _ in range(60)), "xyz"[i % 3], "s", 1) for i in range(120)]
+    rows += [(500, None, "x", None, None), (501, "", "x", None, None), (502, "12 34", None, None, None), (503, rows[0][1], None, None, None), (503, rows[0][1], None, None, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = language_id.op8_language_id(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert all(r.lang_pred == "xyz"[r.doc_id % 3] and 0 < r.score <= 1 for r in got if r.doc_id < 120)
+    assert [(r.lang_pred, r.score) for r in sorted(got) if 500 <= r.doc_id < 503] == [("und", 0.0)] * 3
+    assert {r.lang_pred for r in got if r.doc_id == 503} == {"x"}
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert language_id.op8_language_id(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_more_languages_than_a_word_has_bits():
+    rng = random.Random(9)
+    names = [f"l{j:02}" for j in range(70)]
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for _ in names]
+    counts = np.zeros((70, language_id.HASHES, 1 << 14), np.int64)
+    for j, w in enumerate(words):
+        for _, _, _, h in language_id.gram_hashes([" ".join(w * 3)]):
+            for row, at in zip(counts[j], language_id.slots(h, 14)):
+                row += np.bincount(at, minlength=1 << 14)
+    own = language_id.Filters.learnt(names, counts)
+    assert [x[0] for x in own.judge([" ".join(w) for w in words])] == names
+
+
 def test_nothing_learnt(spark):
     filters = language_id.learn(frame(spark, []).limit(0).select("lang", "text"))
     assert filters.judge(["abc", ""]) == [("und", 0.0)] * 2

@@ -12,13 +12,17 @@ twice, and no list of pairs leaves a task: it sends link counts, and links enoug
 
 A bucket larger than BLOCK is cut into blocks that are compared block with block, so no task gets an unbounded bucket.
 
-Edge cases: vectors that are null, zero, of another length than most, or that hold null or non-finite components link
-with nothing and are their own component; an empty table gives no rows; rows with the same vec_id count as one vector
-(the first by its bytes), each getting the result; equal vectors link. Other columns are never read.
+Equal vectors are compared as one, whose copies count, so a group of copies has no pairs. Vectors of each length that
+occurs are searched apart, as only equal lengths have a cosine.
+
+Edge cases: vectors that are null, zero or that hold null or non-finite components link with nothing and are their own
+component; an empty table gives no rows; rows without vec_id are dropped; rows with the same vec_id count as one vector
+(the least that can link), each getting the result; equal vectors link. Other columns are never read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -39,6 +43,7 @@ ALTERNATE = 5_000
 BLOCK = 512
 ROUNDS = 30
 SEED = 7
+USABLE = "size(embedding) > 0 AND forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x <> 0)"
 
 
 def rotations(sample: np.ndarray, bits: int, rounds: int = ROUNDS):
@@ -147,17 +152,33 @@ class Forest:
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of vectors (vec_id, embedding)."""
-    spark = vectors.sparkSession
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL")
-    dims = rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, count = (dims.dim, dims.n) if dims and dims.dim else (0, 0)
-    lone = rows.select("vec_id").distinct()
-    if not dim:
-        return lone.selectExpr("vec_id", "0L AS n_links", "vec_id AS component_id", "true AS kept")
-    some = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
+    once = rows.where(USABLE).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    named = once.withColumn("h", F.xxhash64("embedding")).withColumn("g", F.xxhash64("embedding", "h"))
+    classes = cut(named.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.min("embedding").alias("embedding")))
+    lengths = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).orderBy("dim").collect()  # one row a length
+    found = [search(classes.where(F.size("embedding") == r.dim).selectExpr("rep AS vec_id", "copies", "embedding"), r.dim, r.n, threshold, recall) for r in lengths]
+    none = classes.where("false").selectExpr("rep AS a", "copies AS n", "rep AS b")
+    found = cut(functools.reduce(DataFrame.unionByName, found, none))
+    links = found.where("n > 0").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n_links"))
+    label = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "rep")
+    known = classes.join(links, "rep", "left").join(label, "rep", "left")
+    known = cut(known.select("h", "g", "copies", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("label", "rep").alias("component_id")))
+    # At most 4096 vectors can each stand for more than a 4096th of all rows; the rows of any other one fit one task.
+    most, members = rows.count() // 4096 + 1, named.select("vec_id", "h", "g")
+    hot, other = F.broadcast(known.where(F.col("copies") > most).drop("copies")), known.where(F.col("copies") <= most).drop("copies")
+    result = members.join(hot, ["h", "g"]).unionByName(members.join(hot, ["h", "g"], "left_anti").join(other, ["h", "g"]))
+    out = rows.select("vec_id").join(result, "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+def search(vectors: DataFrame, dim: int, count: int, threshold: float, recall: float) -> DataFrame:
+    """(a, n, b) of distinct vectors (vec_id, copies, embedding) of one length: vector a has links to n vectors, copies counted, or a links with b."""
+    spark = vectors.sparkSession
+    some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding")
     picked = usable(pa.array([r.embedding for r in some.collect()]), dim)[1]  # at most SAMPLE vectors
     model = spark.sparkContext.broadcast(design(count, min(dim, 64), threshold, recall, unit(np.array(picked)) if picked else np.zeros((0, dim))))
-    once = rows.where(F.size("embedding") == dim).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
     def index(batches):
         mean, planes, width = model.value
@@ -168,23 +189,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
             x = np.array(x)
             keys = keys_of(unit(x), mean, planes, width)
             ids, t = batch.column("vec_id").to_numpy()[good], keys.shape[1]
-            data = [v.tobytes() for v in x]
+            data, copies = [v.tobytes() for v in x], batch.column("copies").to_numpy()[good]
             for lo in range(0, len(good), 256):
                 hi = min(lo + 256, len(good))
-                yield pa.RecordBatch.from_pydict({"t": np.tile(np.arange(t), hi - lo), "key": keys[lo:hi].ravel(), "vec_id": np.repeat(ids[lo:hi], t), "vector": pa.array([d for d in data[lo:hi] for _ in range(t)], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"t": np.tile(np.arange(t), hi - lo), "key": keys[lo:hi].ravel(), "vec_id": np.repeat(ids[lo:hi], t), "copies": np.repeat(copies[lo:hi], t), "vector": pa.array([d for d in data[lo:hi] for _ in range(t)], pa.binary())})
 
-    indexed = once.mapInArrow(index, "t long, key long, vec_id long, vector binary")
+    indexed = vectors.mapInArrow(index, "t long, key long, vec_id long, copies long, vector binary")
     sizes = cut(indexed.groupBy("t", "key").agg(F.count("*").alias("n")).where(f"n > {BLOCK}"))
     blocks = F.coalesce(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("long")
     placed = indexed.join(sizes, ["t", "key"], "left").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("vec_id"), "blocks"))
-    cells = placed.select("t", "key", "vec_id", "vector", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    cells = cells.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "vector")
+    cells = placed.select("t", "key", "vec_id", "copies", "vector", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    cells = cells.select("t", "key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "vec_id", "copies", "vector")
 
     def compare(group):
         mean, planes, width = model.value
         order = np.argsort(group.column("vec_id").to_numpy(), kind="stable")
         group = group.take(pa.array(order))
-        ids, own = group.column("vec_id").to_numpy(), group.column("own").to_numpy()
+        ids, own, copies = (group.column(c).to_numpy() for c in ("vec_id", "own", "copies"))
         lo, hi, t = (group.column(c)[0].as_py() for c in ("lo", "hi", "t"))
         x = unit(np.frombuffer(b"".join(group.column("vector").to_pylist()), np.float64).reshape(len(ids), dim))
         keys = keys_of(x, mean, planes[:, : t * width], width)
@@ -202,8 +223,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
                 i, j = i[exact], j[exact]
                 edges += forest.spanning(i, j)
                 first = ~(keys[i] == keys[j]).any(1)
-                np.add.at(links, i[first], 1)
-                np.add.at(links, j[first], 1)
+                np.add.at(links, i[first], copies[j[first]])
+                np.add.at(links, j[first], copies[i[first]])
         some = np.flatnonzero(links)
         e = np.array(edges, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((ids[some], ids[e[:, 0]]))), pa.array(np.concatenate((links[some], np.zeros(len(e), np.int64)))), pa.array([None] * len(some) + ids[e[:, 1]].tolist(), pa.int64())], names=["a", "n", "b"])
@@ -211,12 +232,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     def compare_table(group):
         return pa.Table.from_batches(list(compare(group.combine_chunks())))
 
-    found = cut(cells.groupBy("t", "key", "lo", "hi").applyInArrow(compare_table, "a long, n long, b long"))
-    links = found.where("n > 0").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    label = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "vec_id")
-    out = rows.select("vec_id").join(links, "vec_id", "left").join(label, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return cells.groupBy("t", "key", "lo", "hi").applyInArrow(compare_table, "a long, n long, b long")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,13 @@
 
 Training counts, per language, every letter n-gram's hash slot over all training texts (fixed-size count tables, summed
 by slices). A slot belongs to a language where the n-gram is typical of it: frequent enough there and more so than a
-share of its highest frequency in any language. The filter keeps one bit mask of languages per slot and hash function;
+share of its highest frequency in any language. The filter keeps a bit mask of languages per slot and hash function, in
+as many 64-bit words as the languages need;
 the AND over the hash functions names all languages that contain an n-gram. A text's hits are counted per language,
 corrected for the filter's false positives, and the largest corrected share decides.
 
 Edge cases: `und` with score 0 for a text that is null or has no letter, or if nothing was learnt; ties go to the
-language first in alphabetical order; repeated rows are judged alike; extra columns are ignored. At most 63 languages.
+language first in alphabetical order; repeated rows are judged alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,8 +84,10 @@ class Filters:
     """A mask of languages for each hash function and slot, and each language's false-positive rate."""
 
     def __init__(self, names: list[str], masks: np.ndarray):
-        self.names, self.masks, self.bits = names, masks, int(np.log2(masks.shape[1])) if masks.size else 0
-        fill = np.array([[(row >> np.uint64(j) & np.uint64(1)).mean() for j in range(len(names))] for row in masks])
+        """masks: hash function, 64 languages, slot; the second may be left out for up to 64."""
+        masks = masks[:, None] if masks.ndim == 2 else masks
+        self.names, self.masks, self.bits = names, masks, int(np.log2(masks.shape[2])) if masks.size else 0
+        fill = np.array([[(row[j // 64] >> np.uint64(j % 64) & np.uint64(1)).mean() for j in range(len(names))] for row in masks])
         self.false = fill.prod(0) if len(names) else np.empty(0)
 
     @classmethod
@@ -92,16 +95,16 @@ class Filters:
         """counts: language, hash function, slot."""
         rate = counts / np.maximum(1, counts.sum(2, keepdims=True))
         member = (rate >= LEAST_RATE) & (rate >= SHARE * rate.max(0, keepdims=True)) & (counts >= 2)
-        masks = np.zeros(counts.shape[1:], np.uint64)
+        masks = np.zeros((counts.shape[1], -(-len(names) // 64), counts.shape[2]), np.uint64)
         for j in range(len(names)):
-            masks |= member[j].astype(np.uint64) << np.uint64(j)
+            masks[:, j // 64] |= member[j].astype(np.uint64) << np.uint64(j % 64)
         return cls(names, masks)
 
     def contain(self, h: np.ndarray) -> np.ndarray:
-        """The languages that contain each n-gram, as bits."""
-        found = ~np.zeros(len(h), np.uint64)
+        """The languages that contain each n-gram, as bits: one row for each 64 languages."""
+        found = ~np.zeros((self.masks.shape[1], len(h)), np.uint64)
         for row, at in zip(self.masks, slots(h, self.bits)):
-            found &= row[at]
+            found &= row[:, at]
         return found
 
     def judge(self, texts: list[str]) -> list[tuple[str, float]]:
@@ -113,7 +116,7 @@ class Filters:
             found = self.contain(h)
             total += np.bincount(owner, minlength=len(texts))
             for j in range(len(self.names)):
-                hits[:, j] += np.bincount(owner, weights=(found >> np.uint64(j) & np.uint64(1)).astype(float), minlength=len(texts))
+                hits[:, j] += np.bincount(owner, weights=(found[j // 64] >> np.uint64(j % 64) & np.uint64(1)).astype(float), minlength=len(texts))
         share = np.clip((hits / np.maximum(total, 1)[:, None] - self.false) / np.maximum(1e-9, 1 - self.false), 0, 1)
         best = share.argmax(1)
         score = share[np.arange(len(texts)), best] / np.maximum(share.sum(1), 1e-12)
@@ -123,10 +126,8 @@ class Filters:
 def learn(labelled: DataFrame, bits: int = BITS) -> Filters:
     """Filters from all rows of (lang, text). The count tables have a fixed size and travel by slices."""
     names = sorted(r.lang for r in labelled.select("lang").distinct().collect())  # one row a language
-    if len(names) > 63:
-        raise ValueError("more than 63 languages")
     if not names:
-        return Filters([], np.zeros((HASHES, 1 << bits), np.uint64))
+        return Filters([], np.zeros((HASHES, 0, 1 << bits), np.uint64))
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}

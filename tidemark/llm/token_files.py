@@ -6,8 +6,12 @@ lists each block's offset, size, token count and crc32 (the checkpoints), so any
 
     magic | u32 header size | header (JSON) | table (zlib) | blocks | footer (zlib JSON and arrays) | u32 size | magic
 
+A file holds about FILE_BYTES of text, so a task keeps a bounded number of ids (two bytes each) until the file's shared
+table is known; only a single longer document makes a larger file.
+
 Edge cases: a null or empty text is a document with the end id only; an empty table gives no files and no rows; rows
-that share a doc_id are each written, in the order of their texts' crc32.
+without doc_id are dropped, as they have no place in the order; rows that share a doc_id are each written, in the order of
+their texts' crc32 and 64-bit hash.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ SCALE_BITS = 20
 LOW = np.uint64(1 << 31)
 LANES = 512
 BLOCK = 1 << 17
+FILE_BYTES = 16 << 20
 
 
 def frequency_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -177,6 +182,12 @@ def store(path: str):
     return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
 
 
+def files_for(docs: DataFrame, size: int = FILE_BYTES) -> int:
+    """How many files hold the texts at size bytes each, and no fewer than the tasks that can run at once."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(-(-total // size), docs.sparkSession.sparkContext.defaultParallelism)
+
+
 def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int, files: int) -> DataFrame:
     """Writes files of consecutive doc_id ranges below path; returns the manifest, one row per file.
 
@@ -207,7 +218,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         fs.move(tmp, f"{folder}/{name}")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [int(sum(lengths))], "bytes": [len(data)]})
 
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))), F.xxhash64("text"))
     return cut(rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long, bytes long"))
 
 
@@ -232,5 +243,6 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_dir(spark, "ids")
-    manifest = write_token_files(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json", 0, partitions_for(spark, 24))
+    docs = table(spark, sf_dir, "documents")
+    manifest = write_token_files(docs, path, "byte_bpe_50k.json", 0, files_for(docs))
     return read_token_files(manifest, path)
