@@ -19,6 +19,8 @@ SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Odd multiplier of the polynomial word hash and its inverse modulo 2**64.
 POLY = 0x9E3779B97F4A7C15
 POLY_INV = pow(POLY, -1, 1 << 64)
+#: Powers that a worker keeps between calls.
+KEEP_POWERS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,11 +94,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """POLY**i and POLY**-i modulo 2**64 for i below n."""
     have = _powers.get("up")
     if have is None or len(have) < n:
-        size = 1 << max(16, math.ceil(math.log2(n + 1)))
-        for key, base in (("up", POLY), ("down", POLY_INV)):
-            steps = np.full(size, base, np.uint64)
+        made = []
+        for base in (POLY, POLY_INV):
+            steps = np.full(1 << max(16, math.ceil(math.log2(n + 1))), base, np.uint64)
             steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
+            made.append(np.multiply.accumulate(steps))
+        if n > KEEP_POWERS:  # for one long text only
+            return made[0][:n], made[1][:n]
+        _powers["up"], _powers["down"] = made
     return _powers["up"][:n], _powers["down"][:n]
 
 
@@ -133,6 +138,19 @@ def text_arrays(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small(batches, limit: int = 2 << 20):
+    """Slices of Arrow batches with at most limit bytes of text each, or one row, so what Python makes of one is bounded."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, limit + (size[lo - 1] if lo else 0), "right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def null_safe_texts(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 

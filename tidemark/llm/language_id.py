@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix64, null_safe_texts, partitions_for, table
+from tidemark.llm.common import mix64, null_safe_texts, partitions_for, small, table
 
 GRAM = 4
 BITS = 18
@@ -131,7 +131,7 @@ def learn(labelled: DataFrame, bits: int = BITS) -> Filters:
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in small(batches):
             langs, texts = batch.column("lang").to_pylist(), null_safe_texts(batch.column("text"))
             for lang in sorted(set(langs)):
                 own = counts.setdefault(lang, np.zeros((HASHES, 1 << bits), np.int64))
@@ -166,7 +166,7 @@ def predict(docs: DataFrame, filters: Filters) -> DataFrame:
 
     def run(batches):
         own = Filters(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             found = own.judge(null_safe_texts(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import null_safe_texts, table
+from tidemark.llm.common import null_safe_texts, small, table
 
 THRESHOLD = 0.8
 #: Places of windows that are looked at together.
@@ -170,7 +170,7 @@ def scan(docs: DataFrame, texts: dict[str, str] | None = None, threshold: float
 
     def run(batches):
         templates = Templates(chosen, threshold)
-        for batch in batches:
+        for batch in small(batches):
             found = [templates.find(t) for t in null_safe_texts(batch.column("text"))]
             best = [max(f, key=lambda x: (x[3], -x[0])) if f else (0, 0, None, None) for f in found]
             yield pa.RecordBatch.from_arrays(

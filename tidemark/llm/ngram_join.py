@@ -10,7 +10,7 @@ summed per pair. The first fragments, as far as a set's prefix reaches, also pro
    first round each prefix shingle proposes only (its smallest node, each other one): stars, so a group of thousands of
    near copies makes no list of pairs. Proposed pairs are counted by fragment; links give components.
 3. Only nodes with a prefix shingle that two components share can still have a link that matters. They are dealt into
-   groups: a node follows the smaller node that it shares most prefix shingles with, up to a root. Within a group sets
+   groups: a node follows the smaller node that it shares most prefix shingles with (a twelfth at least), up to a root. Within a group sets
    are replaced by their differences from the root's set, taken by fragment. Symmetric differences of sets are those of
    the differences, so two sets link only where these share half as much as they exceed the bound by; what most of a
    group has falls out, and the rarest differences propose the pairs by the prefix and position bounds. Features that one
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import components, cut, discard, mix64, release, stash, table, words_of
+from tidemark.llm.common import components, cut, discard, mix64, release, small, stash, table, words_of
 
 N = 4
 PERCENT = 85
@@ -175,7 +175,7 @@ class NgramJoin:
 
         def run(batches):
             sketch = Sketch(bits)
-            for batch in batches:
+            for batch in small(batches):
                 size, node = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
                 for at in range(0, batch.num_rows, GROUP):
                     for i, s in shingle_sets(batch.column("text").slice(at, GROUP).to_pylist(), n):
@@ -206,7 +206,7 @@ class NgramJoin:
                         seen.add(node)
                         yield node, order_keys(s, codes, bits, usual)
 
-            for batch in batches:
+            for batch in small(batches):
                 keep = np.flatnonzero(here[(mix64(batch.column("doc_id").to_numpy().astype(np.uint64)) >> shift).astype(np.int64)])
                 for lo in range(0, len(keep), GROUP):
                     yield from make(fresh(batch.column("text").take(pa.array(keep[lo : lo + GROUP])).to_pylist()))
@@ -276,10 +276,10 @@ class NgramJoin:
         return f"both >= ({p} * (na + nb) + {99 + p}) div {100 + p} - greatest({rest('na')}, {rest('nb')})"
 
     def roots(self, shared: DataFrame) -> DataFrame:
-        """(node, root): each node follows the smaller one that it shares most prefix shingles with, a quarter at least."""
+        """(node, root): each node follows the smaller one that it shares most prefix shingles with, a twelfth at least."""
         met = shared.where("a <> node").groupBy("node", "n", "a").agg(F.count("*").alias("both"))
         best = met.groupBy("node", "n").agg(F.max(F.struct("both", "a")).alias("best"))
-        hubs = best.where(f"4 * best.both >= n - ({self.percent} * n + 99) div 100 + 1").select(F.col("node").alias("a"), F.col("best.a").alias("b"))
+        hubs = best.where(f"12 * best.both >= n - ({self.percent} * n + 99) div 100 + 1").select(F.col("node").alias("a"), F.col("best.a").alias("b"))
         return components(hubs).withColumnRenamed("label", "root")
 
     def across(self, rest: DataFrame) -> DataFrame:
@@ -289,10 +289,13 @@ class NgramJoin:
         met = held.alias("x").join(held.alias("y"), "token").where("x.root < y.root").select("token", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
         one, two = (rest.select("token", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "label"))) for x in "ab")
         pairs = met.join(one, ["token", "root_a"]).join(two, ["token", "root_b"]).where("label_a <> label_b").where(self.near("n_a", "n_b"))
-        names = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("na"), F.expr("if(a < b, n_b, n_a)").alias("nb")]
-        first = F.max(F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) + 1)
-        met = pairs.groupBy(*names).agg(F.count("*").alias("both"), first.alias("most"))
-        return met.where(self.enough()).where(f"most >= ({p} * (na + nb) + {99 + p}) div {100 + p}").select("a", "b", "na", "nb")
+        need, rest_of = f"(({p} * (n_a + n_b) + {99 + p}) div {100 + p})", lambda n: f"({p} * {n} + 99) div 100 - 1"
+        # The first ell shingles in common all have a place that leaves enough behind them; ell is half of what prefixes can show.
+        ell = f"greatest(1, ({need} - greatest({rest_of('n_a')}, {rest_of('n_b')}) + 1) div 2)"
+        pairs = pairs.where(f"{ell} + least(n_a - pos_a, n_b - pos_b) >= {need}")
+        last = F.least(F.col("n_a") - F.max("pos_a"), F.col("n_b") - F.max("pos_b"))
+        pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"), last.alias("last")).where(f"both >= {ell} AND both + last >= {need}")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.expr("if(a < b, n_a, n_b)").alias("na"), F.expr("if(a < b, n_b, n_a)").alias("nb"))
 
     def differences(self, members: DataFrame, sets: DataFrame) -> DataFrame:
         """(node, root, label, n, added, missing, diff) by fragment: what a set has and its group's root's set has not, and the reverse."""

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, null_safe_texts, table
+from tidemark.llm.common import cut, null_safe_texts, small, table
 from tidemark.llm.pieces import encoder
 
 CAPACITY = 4096
@@ -186,7 +186,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
         from pyspark import TaskContext
 
         encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(null_safe_texts(batch.column("text")))):
                 ids = np.append(ids, np.uint16(end_id)).astype("<u4")
@@ -197,6 +197,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
             if rows:
                 names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*rows))})
+        encode.trim()
 
     return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece long, start long, length long, ids_crc32 long, part long, nth long")
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import null_safe_texts, table, tokenizer_path
+from tidemark.llm.common import null_safe_texts, small, table, tokenizer_path
 
 MARK = "▁"
 N_BEST = 4
@@ -307,7 +307,7 @@ def encode_n_best(docs: DataFrame, n: int = N_BEST, name: str = "piece_bpe_32k.m
 
     def run(batches):
         own = lattice(name)
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             texts = null_safe_texts(batch.column("text"))
             for text, found in zip(texts, own.encode_all(texts, n)):

@@ -3,7 +3,7 @@
 A text is cut only where the tokenizer itself always cuts, so joining the pieces' ids equals encoding the whole
 text. The cache of a Python worker outlives its tasks, as the next task reads much the same words. It has two
 generations: when the younger one has MAX_BYTES it becomes the older one, whose pieces stay only if they are seen again,
-so a worker keeps twice that at most and the frequent pieces survive. Texts are taken in groups of GROUP characters, and
+so a worker keeps twice that at most and the frequent pieces survive; after a task half of one generation stays at most. Texts are taken in groups of GROUP characters, and
 a text that alone has more is encoded by the library, so one batch cannot overshoot the bound by more than a group.
 """
 
@@ -51,6 +51,12 @@ class Encoder:
             for piece, e in zip(part, self.library.encode_batch_fast([self.as_text(p) for p in part], add_special_tokens=False)):
                 self.keep(piece, np.array(e.ids, np.uint16).tobytes())
 
+    def trim(self) -> None:
+        """After a task: only the younger generation stays, and only up to half its bound."""
+        self.older = {}
+        if self.held > MAX_BYTES // 2:
+            self.cache, self.held = {}, 0
+
     def keep(self, piece: str, ids: bytes) -> None:
         self.cache[piece] = ids
         self.held += ENTRY + len(piece) + len(ids)

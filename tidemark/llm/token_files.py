@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh_dir, null_safe_texts, partitions_for, table
+from tidemark.llm.common import cut, fresh_dir, null_safe_texts, partitions_for, small, table
 from tidemark.llm.pieces import encoder
 
 MAGIC = b"TMRANS1\n"
@@ -200,12 +200,13 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
 
         encode, ids, doc_ids, lengths = encoder(vocabulary), [], [], []
         tail = np.array([end_id], np.uint16)
-        for batch in batches:
+        for batch in small(batches):
             texts = null_safe_texts(batch.column("text"))
             for got in encode(texts):
                 ids += (got, tail)
                 lengths.append(len(got) + 1)
             doc_ids += batch.column("doc_id").to_pylist()
+        encode.trim()
         if not doc_ids:
             return
         part = TaskContext.get().partitionId()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, null_safe_texts, table, words_of
+from tidemark.llm.common import cut, null_safe_texts, small, table, words_of
 
 SAMPLE = 8_000
 FOLDS = 5
@@ -33,7 +33,7 @@ FEATURES = 2_000
 LEAST_TEXTS = 4
 LEAST_LIFT = 4.0
 REJECT_FROM = 0.5
-CHUNK = 1 << 21
+CHUNK = 1 << 18
 
 KINDS = 2
 CATEGORIES = (*(f"kind_{k + 1}" for k in range(KINDS)), "toxic")
@@ -158,7 +158,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             texts = null_safe_texts(batch.column("text"))
             sets: list = [[]] * len(texts)
             for lo, bound, word, head in text_features(texts):
@@ -198,7 +198,7 @@ def judge(docs: DataFrame, chain: Chain) -> DataFrame:
 
     def run(batches):
         own = Chain(*shared.value)
-        for batch in batches:
+        for batch in small(batches):
             p = own.probabilities(null_safe_texts(batch.column("text")))
             columns = [*(batch.column(c) for c in kept), *(pa.array(p[:, j]) for j in range(p.shape[1])), pa.array(p[:, -1] >= REJECT_FROM)]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, *names, "toxic"])
