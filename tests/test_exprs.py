@@ -103,3 +103,15 @@ def test_without_nan_reaches_every_depth(spark):
     got = df.select(without_nan(F.col("s"), df.schema["s"].dataType).alias("s")).first().s
     assert (got.a, got.b, got.c) == (None, [1.0, None], {"k": None})
     assert not math.isnan(got.b[0])
+
+
+def test_names_and_messages(spark):
+    from tidemark.plans import record
+
+    name = lambda p, x: value(spark, record.output_name(F.lit(p), F.lit(x)))
+    assert name("/a/b.c/show.wav", -16.4) == "/a/b.c/show-LUFS-16-processed.flac"
+    assert name("talk", -15.6) == "talk-LUFS-16-processed.flac"
+    assert value(spark, X.gain_message(F.lit(0.5))) == "Clipping. Peaks at +0.5 ㏈TP. Lower input gain ~7 ㏈."
+    assert [value(spark, X.metric_lufs(F.lit(x))) for x in (-120.0, float("-inf"), -70.0)] == ["< -70", "< -70", "-70.0"]
+    row = spark.createDataFrame([("ep1", True, False)], "series_id string, has_room_tone boolean, has_speech boolean")
+    assert {r.name for r in record.image_names(row, ("input",)).collect()} == {"ep1.spectrogram-whole-input.png", "ep1.spectrogram-roomtone-input.png"}

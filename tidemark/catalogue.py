@@ -6,13 +6,14 @@ Series are the event types, intervals are hours, durations count in hours. Float
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import constants as C
 from tidemark.functions import exprs as X
-from tidemark.operators import election, intervals, levels, segments, spectral
+from tidemark.operators import election, intervals, level_stats, levels, loudness, segments, spectral
 from tidemark.plans import record, scores, tuning
 
 HOP_S = 3600
@@ -21,6 +22,7 @@ GAP_HOPS = (2, 10)
 QUIET_HOPS = (6, 4)
 SPEECH_HOPS = (12, 6)
 SECONDS_PER_HOP = 2.0
+DIM, WIDTH = 64, 50
 RATE_HZ = 16_000.0
 
 
@@ -34,20 +36,26 @@ def rounded(df: DataFrame, digits: int = 6, nudge: float = 0.0) -> DataFrame:
 
 
 class Detector:
-    """The detector's tables for one input, composed lazily; each property is a DataFrame."""
+    """The detector's tables for one input. What several of them read is persisted, so events are read once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.iv = intervals.event_intervals(read(spark, sf_dir, "events"), HOP_S)
-        self.limits = levels.thresholds(self.iv)
-        self.flags = segments.speech_flags(self.iv, self.limits)
+        self.iv = intervals.event_intervals(read(spark, sf_dir, "events"), HOP_S).persist()
+
+    @cached_property
+    def limits(self) -> DataFrame:
+        return levels.thresholds(self.iv).persist()
+
+    @cached_property
+    def flags(self) -> DataFrame:
+        return segments.speech_flags(self.iv, self.limits).persist()
 
     @property
     def tolerance(self) -> DataFrame:
         return segments.gap_tolerance(self.flags, GAP_HOPS)
 
-    @property
+    @cached_property
     def runs(self) -> DataFrame:
-        return segments.speech_runs(self.flags, self.tolerance, HOP_S, RUN_HOPS)
+        return segments.speech_runs(self.flags, self.tolerance, HOP_S, RUN_HOPS).persist()
 
     @property
     def noise(self) -> DataFrame:
@@ -61,9 +69,21 @@ class Detector:
     def candidates(self) -> DataFrame:
         return election.candidates(self.iv, self.runs, self.floors, SECONDS_PER_HOP, HOP_S)
 
-    @property
+    @cached_property
     def elected(self) -> DataFrame:
-        return election.elect(self.candidates)
+        return election.elect(self.candidates).persist()
+
+
+def signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings end to end, WIDTH of them a series, as a sampled signal."""
+    rows = read(spark, sf_dir, "embeddings").where(f"size(embedding) = {DIM}").select("vec_id", F.posexplode("embedding").alias("place", "x"))
+    return rows.select(F.floor(F.col("vec_id") / WIDTH).cast("string").alias("series_id"), (F.col("vec_id") % WIDTH * DIM + F.col("place")).alias("i"), F.round(F.col("x").cast("double") / 4, 6).alias("x"))
+
+
+def energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean squares of blocks of DIM samples of the signal, at a loudness that falls from block to block and starts again."""
+    z = signal(spark, sf_dir).groupBy("series_id", F.floor(F.col("i") / DIM).alias("block")).agg(F.avg(F.col("x") * F.col("x")).alias("z"))
+    return z.withColumn("z", F.col("z") * F.pow(F.lit(10.0), -(F.col("block") % 9)))
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,6 +156,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "elected_region": lambda s, d: rounded(Detector(s, d).elected.select("series_id", "start", "end", "score")),
     "refined_region": lambda s, d: (x := Detector(s, d)) and rounded(election.elected_refined(x.iv, x.elected, x.floors, HOP_S, SPEECH_HOPS, SECONDS_PER_HOP).select("series_id", "start", "end", "refined", "original_start", "original_end", "score")),
     "gate_statistics": lambda s, d: (x := Detector(s, d)) and rounded(election.gate_statistics(x.flags, x.elected)),
+    "noise_profile": lambda s, d: (x := Detector(s, d)) and rounded(election.noise_profile(x.iv, x.noise, x.floors, SECONDS_PER_HOP, HOP_S)),
+    "room_tone_samples": lambda s, d: (x := Detector(s, d)) and rounded(election.room_tone_samples(x.iv, x.noise).select("series_id", "rms_level", "peak_level", "crest", "momentary", "entropy", "centroid"), 9, 3e-11),
+    "region_stages": lambda s, d: (x := Detector(s, d)) and rounded(election.across_stages({k: x.iv.withColumn("momentary", F.col("momentary") + g) for k, g in (("input", 0.0), ("filtered", 3.0), ("final", 6.0))}, x.elected).select("series_id", "stage", "intervals", "momentary", "rms_level"), 9, 3e-11),
+    "candidate_counts": lambda s, d: Detector(s, d).runs.groupBy("series_id").agg(F.count("*").alias("candidates")),
+    "level_statistics": lambda s, d: rounded(level_stats.level_statistics(signal(s, d), 160, 1000), 6, 3e-8),
+    "loudness_curve": lambda s, d: rounded(loudness.loudness_curve(energies(s, d), 40).select("series_id", "block", "momentary", "short_term"), 6, 3e-8),
+    "programme_loudness": lambda s, d: rounded(loudness.programme_loudness(loudness.loudness_curve(energies(s, d), 40)), 6, 3e-8),
+    "signal_loudness": lambda s, d: loudness.programme_loudness(loudness.loudness_curve(loudness.energy_blocks(signal(s, d), 640))).join(loudness.true_peak(signal(s, d), 640), "series_id"),
     "spectral_moments": lambda s, d: rounded(statistics(s, d).select("vec_id", "mean", "variance", "centroid", "spread", "skewness", "kurtosis")),
     "spectral_shape": lambda s, d: rounded(statistics(s, d).select("vec_id", "entropy", "flatness", "crest", "slope", "decrease", "rolloff")),
     "spectral_flux": lambda s, d: rounded(statistics(s, d).select("vec_id", "flux")),
@@ -147,7 +175,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "adaptive_gate": lambda s, d: rounded(tuned(s, d).select("series_id", "gate_threshold_db", "gate_unclamped_db", "gate_ratio", "gate_depth_db", "gate_reason", "gate_headroom_db")),
     "adaptive_deesser": lambda s, d: rounded(tuned(s, d).select("series_id", "deess_intensity")),
     "adaptive_compressor": lambda s, d: rounded(tuned(s, d).select("series_id", "compressor_threshold_db")),
-    "filter_spec": lambda s, d: tuned(s, d).where("noise_type = 'w'").select("series_id", tuning.chain_text(("downmix", "rumble", "band_limit", "gate", "compressor", "deesser", "resample")).alias("spec")),
+    "filter_spec": lambda s, d: tuned(s, d).select("series_id", tuning.chain_text(("downmix", "rumble", "band_limit", "gate", "compressor", "deesser", "resample")).alias("spec")),
     "filter_chain": lambda s, d: tuned(s, d).select("series_id", tuning.chain_text().alias("spec")),
     "limiter_plan": lambda s, d: rounded(planned(s, d).select("series_id", "gain_db", F.col("limit").alias("needed"), "limit_clamped", "pre_gain_db", "ceiling_db")),
     "linear_target": lambda s, d: rounded(planned(s, d).select("series_id", "inner_peak_db", "linear", "target_lufs", "offset_db", "emitted_peak_db", "brickwall_db")),

@@ -44,6 +44,7 @@ TIER_LUFS = (-20.0, -30.0)
 TIER_OFFSET_DB = (18.0, 12.0, 8.0)
 TIER_HEADROOM_DB = (40.0, 25.0, 15.0)
 RMS_FLOOR_OFFSET_DB = 15.0
+ROOM_TONE_S = (8, 18)
 NOISE_FLOOR_DB = (-90.0, -30.0)
 
 BAND_CENTRES_HZ = (80, 125, 195, 290, 440, 660, 1000, 1500, 2250, 3350, 5000, 7500, 11200, 16000, 24000)

@@ -157,12 +157,12 @@ def gain_advice(peak: Column) -> Column:
 
 def gain_message(peak: Column) -> Column:
     advice = gain_advice(peak)
-    lower = F.format_string("Peaks at %+.1f dBTP. Lower input gain ~%.0f dB.", peak, F.abs(advice["delta_db"]))
+    lower = F.format_string("Peaks at %+.1f ㏈TP. Lower input gain ~%.0f ㏈.", peak, F.abs(advice["delta_db"]))
     return (
         F.when(peak >= 0, F.concat(F.lit("Clipping. "), lower))
         .when(peak > -1, F.concat(F.lit("Hot. "), lower))
-        .when(peak < -12, F.format_string("Quiet. Peaks at %+.1f dBTP. Raise input gain ~%.0f dB.", peak, F.abs(advice["delta_db"])))
-        .otherwise(F.format_string("Level well set. Peaks at %+.1f dBTP. No action required.", peak))
+        .when(peak < -12, F.format_string("Quiet. Peaks at %+.1f ㏈TP. Raise input gain ~%.0f ㏈.", peak, F.abs(advice["delta_db"])))
+        .otherwise(F.format_string("Level well set. Peaks at %+.1f ㏈TP. No action required.", peak))
     )
 
 
@@ -180,7 +180,7 @@ def metric_db(x: Column, decimals: int = 1) -> Column:
 
 
 def metric_lufs(x: Column, decimals: int = 1) -> Column:
-    return F.when((x == float("-inf")) | (x <= C.SILENCE_DB), "< -120").when(x < -70, "< -70").otherwise(fixed(x, decimals))
+    return F.when(x < -70, "< -70").otherwise(fixed(x, decimals))
 
 
 def metric_signed(x: Column, decimals: int = 1) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,29 @@ def noise_region(intervals: DataFrame, flags: DataFrame, hop_s: int, window: tup
     return refine(intervals, quiet_run(flags, hop_s), hop_s, *window, lambda frame: F.avg("rms_level").over(frame), lowest=True)
 
 
+def room_tone_samples(intervals: DataFrame, regions: DataFrame) -> DataFrame:
+    """The measures of each series' quiet region, with the crest: highest peak over mean level."""
+    return region_samples(intervals, regions.select("series_id", "start", "end")).withColumn("crest", F.col("peak_level") - F.col("rms_level"))
+
+
+def noise_profile(intervals: DataFrame, regions: DataFrame, floors: DataFrame, seconds_per_hop: float = C.FRAME_HOP_S, hop_s: int = 1) -> DataFrame:
+    """(series_id, start, end, floor, peak_level, crest, entropy, warning); floors: (series_id, floor) replaces the mean level where there is one.
+
+    The warning names a region shorter or longer than what is ideal, else null.
+    """
+    rows = room_tone_samples(intervals, regions).join(floors, "series_id", "left")
+    low, high = C.ROOM_TONE_S
+    s = (F.col("end") - F.col("start")) / hop_s * seconds_per_hop
+    short = F.concat(F.format_string("using short room tone region (%.1fs)", s), F.lit(f" - ideally need >={low}s"))
+    long = F.concat(F.format_string("using long room tone region (%.1fs)", s), F.lit(f" - ideally <={high}s"))
+    return rows.select("series_id", "start", "end", F.coalesce("floor", "rms_level").alias("floor"), "peak_level", "crest", "entropy", F.when(s < low, short).when(s > high, long).alias("warning"))
+
+
+def across_stages(stages: dict[str, DataFrame], regions: DataFrame) -> DataFrame:
+    """Regions found on one stage, measured on the intervals of every stage."""
+    return reduce(DataFrame.unionByName, (region_samples(iv, regions.select("series_id", "start", "end")).withColumn("stage", F.lit(name)) for name, iv in stages.items()))
+
+
 def candidates(intervals: DataFrame, runs: DataFrame, floors: DataFrame, seconds_per_hop: float = C.FRAME_HOP_S, hop_s: int = 1) -> DataFrame:
     """Runs with their region sample and score. floors: (series_id, floor) where a noise region was found."""
     rows = region_samples(intervals, runs.select("series_id", "start", "end")).join(floors, "series_id", "left")

@@ -153,6 +153,10 @@ ORACLE_SQL: dict[str, str] = {name: EVENTS + sql for name, sql in {
     "longest_quiet_run": "SELECT * FROM quiet",
     "noise_region": "SELECT * FROM noise",
     "region_samples": f"SELECT series_id, start, \"end\", intervals, {r6('peak_level', 'voicing', 'level_variance', 'rms_level', 'momentary', 'centroid', 'entropy', 'kurtosis', 'flatness', 'rolloff', 'flux').replace(', 6)', ' + 3e-11, 9)')} FROM samples",
+    "noise_profile": "SELECT n.series_id, n.start, n.\"end\", round(any_value(floor), 6) AS floor, round(greatest(-120, max(peak_level)), 6) AS peak_level, round(greatest(-120, max(peak_level)) - avg(rms_level), 6) AS crest, round(avg(entropy), 6) AS entropy, CASE WHEN (n.\"end\" - n.start) / 3600 * 2.0 < 8 THEN printf('using short room tone region (%.1fs) - ideally need >=8s', (n.\"end\" - n.start) / 3600 * 2.0::DOUBLE) WHEN (n.\"end\" - n.start) / 3600 * 2.0 > 18 THEN printf('using long room tone region (%.1fs) - ideally <=18s', (n.\"end\" - n.start) / 3600 * 2.0::DOUBLE) END AS warning FROM noise n JOIN iv ON iv.series_id = n.series_id AND iv.ts >= n.start AND iv.ts < n.\"end\" JOIN limits l ON l.series_id = n.series_id GROUP BY ALL",
+    "room_tone_samples": "SELECT n.series_id, round(avg(rms_level) + 3e-11, 9) AS rms_level, round(greatest(-120, max(peak_level)) + 3e-11, 9) AS peak_level, round(greatest(-120, max(peak_level)) - avg(rms_level) + 3e-11, 9) AS crest, round(avg(momentary) + 3e-11, 9) AS momentary, round(avg(entropy) + 3e-11, 9) AS entropy, round(avg(centroid) + 3e-11, 9) AS centroid FROM noise n JOIN iv ON iv.series_id = n.series_id AND iv.ts >= n.start AND iv.ts < n.\"end\" GROUP BY 1",
+    "region_stages": "SELECT r.series_id, stage, count(*) AS intervals, round(avg(momentary + g) + 3e-11, 9) AS momentary, round(avg(rms_level) + 3e-11, 9) AS rms_level FROM elected r JOIN iv ON iv.series_id = r.series_id AND iv.ts >= r.start AND iv.ts < r.\"end\", (VALUES ('input', 0.0::DOUBLE), ('filtered', 3.0), ('final', 6.0)) AS t(stage, g) GROUP BY 1, 2",
+    "candidate_counts": "SELECT series_id, count(*) AS candidates FROM runs GROUP BY 1",
     "candidate_scores": f"SELECT series_id, start, \"end\", {r6('score')} FROM scored",
     "elected_region": f"SELECT series_id, start, \"end\", {r6('score')} FROM elected",
     "refined_region": f"SELECT series_id, start, \"end\", refined, original_start, original_end, round({SCORE}, 6) AS score FROM again",
@@ -170,17 +174,46 @@ ORACLE_SQL |= {name: MEASURED + sql for name, sql in {
     "scalar_functions": f"SELECT series_id, round(pow(10, peak / 20), 6) AS linear, round(CASE WHEN peak > 0 THEN 20 * log10(peak) ELSE -120 END, 6) AS db, round(CASE WHEN peak = 0 THEN -120 ELSE 20 * log10(least(1, CASE WHEN abs(peak * 100) > 1 THEN abs(peak * 100) / 32768 ELSE abs(peak * 100) END)) END, 6) AS sample_db, round({ramp('peak', -6, -1)}, 6) AS score, CASE WHEN integrated > -20 THEN 'loud' WHEN integrated > -30 THEN 'mid' ELSE 'quiet' END AS tier, round(least(-35, greatest(-70, floor + 6)), 6) AS silence, CAST((CAST(trunc(range_lu * 1000) AS BIGINT) + 125) // 250 AS BIGINT) AS hops, round({ROLLOFF.format(x='(range_lu * 500)')}, 6) AS rolloff, round({FLUX.format(x='(range_lu / 700)')}, 6) AS flux, round({SNR.format(x='separation')}, 6) AS snr, round(CASE WHEN peak < -12 THEN {ramp('peak', -12, -24)} * 0.33 WHEN peak <= -1 THEN 0.33 + {ramp('peak', -1, -12)} * 0.34 ELSE 0.67 + {ramp('peak', 1, -1)} * 0.33 END, 6) AS place FROM m",
     "input_noise_floor": "SELECT series_id, round(floor, 6) AS floor, floor_source, round(CASE WHEN has_bands THEN greatest(0, least(60, file_rms - floor)) WHEN integrated > -20 THEN 40 WHEN integrated > -30 THEN 25 ELSE 15 END, 6) AS reduction_headroom FROM (SELECT series_id, file_rms, has_bands, integrated, greatest(-90, least(-30, CASE WHEN has_speech THEN rms_trough WHEN has_bands THEN file_rms - 15 ELSE integrated - 10 - CASE WHEN integrated > -20 THEN 18 WHEN integrated > -30 THEN 12 ELSE 8 END END)) AS floor, CASE WHEN has_speech THEN 'levels' WHEN has_bands THEN 'rms_estimate' ELSE 'loudness_estimate' END AS floor_source FROM m)",
     "adaptive_denoise": "SELECT series_id, denoise_on, round(CASE WHEN denoise_on THEN greatest(-80, least(-20, floor)) ELSE 0 END, 6) AS denoise_floor, NOT denoise_on AS track_noise, CASE WHEN denoise_on AND finite_bands >= 10 AND separation >= 12 AND room_flatness >= 0.45 THEN 'custom' ELSE 'w' END AS noise_type FROM den",
-    "adaptive_gate": "SELECT series_id, round(gate_db, 6) AS gate_threshold_db, round(free, 6) AS gate_unclamped_db, CAST(gate_ratio AS DOUBLE) AS gate_ratio, CAST(depth AS DOUBLE) AS gate_depth_db, CASE WHEN narrow THEN 'narrow_gap' ELSE 'none' END AS gate_reason, round(CASE WHEN has_speech THEN voiced_low - gate_db ELSE 0 END, 6) AS gate_headroom_db FROM tuned",
+    "adaptive_gate": "SELECT series_id, round(gate_db, 6) AS gate_threshold_db, CASE WHEN has_speech THEN round(free, 6) ELSE 0 END AS gate_unclamped_db, CAST(gate_ratio AS DOUBLE) AS gate_ratio, CAST(depth AS DOUBLE) AS gate_depth_db, CASE WHEN NOT has_speech THEN '' WHEN narrow THEN 'narrow_gap' ELSE 'none' END AS gate_reason, round(CASE WHEN has_speech THEN voiced_low - gate_db ELSE 0 END, 6) AS gate_headroom_db FROM tuned",
     "adaptive_deesser": "SELECT series_id, round(deess, 6) AS deess_intensity FROM tuned",
     "adaptive_compressor": "SELECT series_id, round(comp, 6) AS compressor_threshold_db FROM tuned",
-    "filter_spec": "SELECT series_id, concat_ws(',', 'aformat=channel_layouts=mono', 'highpass=f=80:poles=2:width_type=q:width=0.707:normalize=1:a=tdii', 'lowpass=f=20500:poles=2:width_type=q:width=0.707:normalize=1:a=tdii', printf('agate=threshold=%.6f:ratio=%.1f:attack=5.00:release=200:range=%.4f:knee=3.0:detection=rms:makeup=1.0', pow(10, gate_db / 20), CAST(gate_ratio AS DOUBLE), pow(10, -depth / 20)), printf('acompressor=threshold=%.6f:ratio=3.0:attack=10:release=200:makeup=1.00:knee=4.0:detection=rms:mix=1.00', pow(10, comp / 20)), CASE WHEN deess > 0 THEN printf('deesser=i=%.2f:m=0.50:f=0.80', CAST(deess AS DOUBLE)) END, 'aformat=sample_rates=44100:channel_layouts=mono:sample_fmts=s16,asetnsamples=n=4096') AS spec FROM tuned WHERE NOT (NOT voice_activated AND finite_bands >= 10 AND separation >= 12 AND room_flatness >= 0.45)",
+    "filter_spec": "SELECT series_id, concat_ws(',', 'aformat=channel_layouts=mono', 'highpass=f=80:poles=2:width_type=q:width=0.707:normalize=1:a=tdii', 'lowpass=f=20500:poles=2:width_type=q:width=0.707:normalize=1:a=tdii', printf('agate=threshold=%.6f:ratio=%.1f:attack=5.00:release=200:range=%.4f:knee=3.0:detection=rms:makeup=1.0', pow(10, gate_db / 20), CAST(gate_ratio AS DOUBLE), pow(10, -depth / 20)), printf('acompressor=threshold=%.6f:ratio=3.0:attack=10:release=200:makeup=1.00:knee=4.0:detection=rms:mix=1.00', pow(10, comp / 20)), CASE WHEN deess > 0 THEN printf('deesser=i=%.2f:m=0.50:f=0.80', CAST(deess AS DOUBLE)) END, 'aformat=sample_rates=44100:channel_layouts=mono:sample_fmts=s16,asetnsamples=n=4096') AS spec FROM tuned",
     "limiter_plan": "SELECT series_id, round(gain_db, 6) AS gain_db, needed, needed AND free < -24 AS limit_clamped, round(greatest(0, -24 - free), 6) AS pre_gain_db, round(CASE WHEN NOT needed THEN 0 ELSE greatest(free, -24) END, 6) AS ceiling_db FROM lim",
     "linear_target": "SELECT series_id, round(inner_peak, 6) AS inner_peak_db, true AS linear, -16.0::DOUBLE AS target_lufs, round(gain_db, 6) AS offset_db, round(greatest(-9, least(0, inner_peak)), 6) AS emitted_peak_db, -1.9::DOUBLE AS brickwall_db FROM lim",
     "normalisation_result": "SELECT series_id, CASE WHEN integrated < -70 THEN 'silent' ELSE 'ok' END AS status, round(integrated + range_lu / 25 + 16, 6) AS deviation_lu, integrated >= -70 AND abs(integrated + range_lu / 25 + 16) <= 0.5 AS within_target, NOT has_bands AS varied FROM m",
     "recording_score": f"SELECT series_id, score, CASE WHEN score >= 90 THEN 5 WHEN score >= 75 THEN 4 WHEN score >= 60 THEN 3 WHEN score >= 40 THEN 2 ELSE 1 END AS stars, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Great' WHEN score >= 60 THEN 'Good' WHEN score >= 40 THEN 'Fair' ELSE 'Poor' END AS label FROM (SELECT series_id, round(100 * (0.5 * CASE WHEN has_speech THEN 0.7 * {ramp('(speech_rms - floor)', 45, 16)} + 0.3 * {ramp('floor', -75, -45)} ELSE {ramp('floor', -75, -45)} END + 0.3 * {ramp('peak', -6, -1)} + 0.2 * (0.6 * {ramp('greatest(0, -23 - integrated)', 6, 18)} + 0.4 * {ramp('range_lu', 13, 22)})), 6) AS score FROM m)",
     "quality_score": f"SELECT series_id, round(100 * (0.5 * {ramp('abs(integrated + 16)', 0.5, 3)} + 0.3 * {ramp('CASE WHEN has_bands THEN peak ELSE 0 END', -1, 0)} + 0.2 * CASE WHEN has_speech THEN {ramp('floor', -75, -50)} ELSE 0 END), 6) AS score FROM m",
     "gain_advice": "SELECT series_id, CASE WHEN peak >= 0 THEN 'clipping' WHEN peak > -1 THEN 'hot' WHEN peak < -12 THEN 'quiet' ELSE 'fine' END AS kind, CASE WHEN peak > -1 OR peak < -12 THEN round(-6 - peak) ELSE 0 END AS delta_db FROM m",
-    "image_names": "SELECT CAST(series_id AS VARCHAR) AS series_id, kind, stage, concat_ws('-', series_id, kind, stage) AS name FROM m, (VALUES ('whole'), ('roomtone'), ('speech')) AS k(kind), (VALUES ('input'), ('filtered'), ('final')) AS t(stage) WHERE kind = 'whole' OR (kind = 'roomtone' AND has_bands) OR (kind = 'speech' AND has_speech)",
+    "image_names": "SELECT CAST(series_id AS VARCHAR) AS series_id, kind, stage, series_id || '.spectrogram-' || kind || '-' || stage || '.png' AS name FROM m, (VALUES ('whole'), ('roomtone'), ('speech')) AS k(kind), (VALUES ('input'), ('filtered'), ('final')) AS t(stage) WHERE kind = 'whole' OR (kind = 'roomtone' AND has_bands) OR (kind = 'speech' AND has_speech)",
 }.items()}
 _CENTRES = ", ".join(f"({i}, {c}.0::DOUBLE)" for i, c in enumerate(C.BAND_CENTRES_HZ))
 ORACLE_SQL["band_edges"] = f"SELECT band, centre_hz, round(coalesce(sqrt(lag(centre_hz) OVER w * centre_hz), centre_hz / sqrt(lead(centre_hz) OVER w / centre_hz)), 6) AS low_hz, round(coalesce(sqrt(centre_hz * lead(centre_hz) OVER w), centre_hz * sqrt(centre_hz / lag(centre_hz) OVER w)), 6) AS high_hz FROM (VALUES {_CENTRES}) AS c(band, centre_hz) WINDOW w AS (ORDER BY band)"
+
+_SIGNAL = "WITH sig AS (SELECT CAST(vec_id // 50 AS VARCHAR) AS series_id, (vec_id % 50) * 64 + k AS i, round(CAST(embedding[k + 1] AS DOUBLE) / 4, 6) AS x FROM embeddings, range(64) AS t(k) WHERE len(embedding) = 64)"
+_DB = "CASE WHEN {0} > 0 THEN round(20 * log10({0}) + 3e-8, 6) WHEN {0} IS NOT NULL THEN CAST('-inf' AS DOUBLE) END"
+_R = "round({0} + 3e-8, 6)"
+ORACLE_SQL["level_statistics"] = f"""{_SIGNAL},
+w AS (SELECT series_id, i // 160 AS k, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak FROM sig GROUP BY ALL),
+p AS (SELECT series_id, min(rms) AS trough, max(rms) AS loudest, min(peak) AS quietest FROM w GROUP BY 1),
+s AS (SELECT series_id, count(*) AS n, avg(x) AS dc, min(x) AS low, max(x) AS high, sqrt(avg(x * x)) AS rms, max(abs(x)) AS peak, min(abs(x)) FILTER (x <> 0) AS least FROM sig GROUP BY 1),
+l AS (SELECT series_id, x, lag(x) OVER (PARTITION BY series_id ORDER BY i) AS b FROM sig),
+d AS (SELECT series_id, min(abs(x - b)) AS dmin, max(abs(x - b)) AS dmax, avg(abs(x - b)) AS dmean, sqrt(avg((x - b) * (x - b))) AS drms, count(*) FILTER (sign(x) * sign(b) < 0) AS zc FROM l WHERE b IS NOT NULL GROUP BY 1),
+e AS (SELECT sig.series_id, x, i - row_number() OVER (PARTITION BY sig.series_id, x ORDER BY i) AS run FROM sig JOIN s USING (series_id) WHERE x = low OR x = high),
+f AS (SELECT series_id, sum(n * n) / sum(n) AS flat FROM (SELECT series_id, x, run, count(*) AS n FROM e GROUP BY ALL) GROUP BY 1)
+SELECT series_id, n AS samples, {_R.format('dc')} AS dc_offset, {_R.format('low')} AS min_level, {_R.format('high')} AS max_level, {_R.format('dmin')} AS min_difference, {_R.format('dmax')} AS max_difference, {_R.format('dmean')} AS mean_difference, {_R.format('drms')} AS rms_difference,
+{_DB.format('peak')} AS peak_db, {_DB.format('rms')} AS rms_db, {_DB.format('trough')} AS rms_trough_db, {_DB.format('loudest')} AS rms_peak_db, {_DB.format('(peak / rms)')} AS crest_db, {_DB.format('(2 * peak / least)')} AS dynamic_range_db, {_DB.format('quietest')} AS noise_floor_db, {_DB.format('flat')} AS flat_factor_db,
+coalesce(zc, 0) AS zero_crossings, {_R.format('coalesce(zc, 0) / n')} AS zero_crossing_rate FROM s JOIN p USING (series_id) JOIN f USING (series_id) LEFT JOIN d USING (series_id)"""
+_CURVE = f"""{_SIGNAL},
+em AS (SELECT series_id, i // 64 AS block, avg(x * x) AS z FROM sig GROUP BY ALL),
+en AS (SELECT series_id, block, z * pow(10.0, -(block % 9)) AS z FROM em),
+cu AS (SELECT series_id, block, CASE WHEN block >= 3 THEN avg(z) OVER (o ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) END AS mz, CASE WHEN block >= 29 THEN avg(z) OVER (o ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) END AS sz FROM en WINDOW o AS (PARTITION BY series_id ORDER BY block)),
+lo AS (SELECT *, -0.691 + 10 * log10(mz) AS m, -0.691 + 10 * log10(sz) AS s FROM cu)"""
+ORACLE_SQL["loudness_curve"] = f"{_CURVE} SELECT series_id, block, {_R.format('m')} AS momentary, {_R.format('s')} AS short_term FROM lo"
+ORACLE_SQL["programme_loudness"] = f"""{_CURVE},
+mg AS (SELECT series_id, -0.691 + 10 * log10(avg(mz)) - 10 AS g FROM lo WHERE m >= -70 GROUP BY 1),
+sg AS (SELECT series_id, -0.691 + 10 * log10(avg(sz)) - 20 AS g FROM lo WHERE s >= -70 GROUP BY 1),
+it AS (SELECT series_id, -0.691 + 10 * log10(avg(mz)) AS integrated FROM lo JOIN mg USING (series_id) WHERE m >= -70 AND m >= g GROUP BY 1),
+sv AS (SELECT series_id, list_sort(list(floor(s * 100) / 100)) AS v FROM lo JOIN sg USING (series_id) WHERE s >= -70 AND s >= g GROUP BY 1),
+rg AS (SELECT series_id, v[CAST(floor((len(v) - 1) * 0.10 + 0.5) AS BIGINT) + 1] AS a, v[CAST(floor((len(v) - 1) * 0.95 + 0.5) AS BIGINT) + 1] AS b FROM sv),
+mx AS (SELECT series_id, max(m) AS mm, max(s) AS ms FROM lo GROUP BY 1)
+SELECT series_id, {_R.format('integrated')} AS integrated, {_R.format('a')} AS range_low, {_R.format('b')} AS range_high, {_R.format('(b - a)')} AS loudness_range, {_R.format('mm')} AS max_momentary, {_R.format('ms')} AS max_short_term FROM mx LEFT JOIN it USING (series_id) LEFT JOIN rg USING (series_id)"""

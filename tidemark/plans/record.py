@@ -95,8 +95,10 @@ def report(sections: DataFrame) -> DataFrame:
     return kept.groupBy("series_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["text"]), "\n\n").alias("markdown"))
 
 
-def output_name(stem: Column, integrated: Column) -> Column:
-    return F.concat(stem, F.lit("-LUFS-"), F.round(F.abs(integrated)).cast("int").cast("string"), F.lit("-processed"))
+def output_name(path: Column, integrated: Column) -> Column:
+    """The path without its ending, with the loudness, as FLAC whatever it was."""
+    stem = F.regexp_replace(path, r"(?<=[^/])\.[^./]*$", "")
+    return F.concat(stem, F.lit("-LUFS-"), F.round(F.abs(integrated)).cast("int").cast("string"), F.lit("-processed.flac"))
 
 
 def analysis_name(path: Column) -> Column:
@@ -108,4 +110,4 @@ def image_names(elected: DataFrame, stages: tuple[str, ...] = ("input", "filtere
     """(series_id, kind, stage, name): whole, room tone and speech images of every stage, kinds only where a region was elected."""
     kinds = F.filter(F.array(F.lit("whole"), F.when(F.col("has_room_tone"), "roomtone"), F.when(F.col("has_speech"), "speech")), lambda k: k.isNotNull())
     both = elected.select("series_id", F.explode(kinds).alias("kind"), F.array(*map(F.lit, stages)).alias("stages")).select("series_id", "kind", F.explode("stages").alias("stage"))
-    return both.withColumn("name", F.concat_ws("-", "series_id", "kind", "stage"))
+    return both.withColumn("name", F.concat("series_id", F.lit(".spectrogram-"), "kind", F.lit("-"), "stage", F.lit(".png")))

@@ -49,8 +49,8 @@ def tune_gate(df: DataFrame) -> DataFrame:
     by_peak = (F.col("room_crest") > 20) & (F.col("room_peak") != 0) & (gap < 25)
     fallback = F.when(by_peak, F.col("room_peak") + 3.0).otherwise(F.greatest(F.lit(-40.0), F.col("floor") + 12.0 / (1.0 - 1.0 / ratio)))
     free = F.when(F.col("has_speech"), F.col("voiced_low") - GATE_MARGIN_DB).otherwise(fallback)
-    df = df.withColumn("gate_unclamped_db", free).withColumn("gate_threshold_db", clamp(free, *GATE_DB)).withColumn("gate_ratio", ratio).withColumn("gate_narrow", F.coalesce(narrow, F.lit(False)))
-    df = df.withColumn("gate_depth_db", F.when(F.col("gate_narrow"), GATE_DEPTH_NARROW_DB).otherwise(GATE_DEPTH_DB)).withColumn("gate_reason", F.when(F.col("gate_narrow"), "narrow_gap").otherwise("none"))
+    df = df.withColumn("gate_unclamped_db", F.when(F.col("has_speech"), free).otherwise(0.0)).withColumn("gate_threshold_db", clamp(free, *GATE_DB)).withColumn("gate_ratio", ratio).withColumn("gate_narrow", F.coalesce(narrow, F.lit(False)))
+    df = df.withColumn("gate_depth_db", F.when(F.col("gate_narrow"), GATE_DEPTH_NARROW_DB).otherwise(GATE_DEPTH_DB)).withColumn("gate_reason", F.when(~F.col("has_speech"), "").when(F.col("gate_narrow"), "narrow_gap").otherwise("none"))
     return df.withColumn("gate_headroom_db", F.when(F.col("has_speech"), F.col("voiced_low") - F.col("gate_threshold_db")).otherwise(0.0))
 
 
