@@ -307,7 +307,10 @@ class NgramJoin:
         none = F.expr("cast(array() as array<bigint>)")
         a, b = F.coalesce("keys", none), F.coalesce("root_keys", none)
         both = both.withColumn("plus", F.array_except(a, b)).withColumn("minus", F.array_except(b, a))
-        return stash(both.select("node", "root", "label", "n", F.size("plus").alias("added"), F.size("minus").alias("missing"), F.concat("plus", "minus").alias("diff")))
+        found = stash(both.select("node", "root", "label", "n", F.size("plus").alias("added"), F.size("minus").alias("missing"), F.concat("plus", "minus").alias("diff")))
+        del own, every, of_root, both
+        release(self.spark)
+        return found
 
     def recentred(self, members: DataFrame, found: DataFrame) -> DataFrame:
         """Members of large groups with the member as root whose set differs least from the shingles that most members have."""
@@ -349,7 +352,7 @@ class NgramJoin:
     def links(self) -> DataFrame:
         """Links (a, b) between nodes; they connect all that any links connect."""
         tokens = self.prefixes()
-        first = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("top <> a").drop("top")
+        first = tokens.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("held")).where("held > 1").drop("held")
         shared = stash(tokens.join(first, "token"))
         del tokens, first
         release(self.spark)
@@ -357,7 +360,8 @@ class NgramJoin:
         sets = self.cut_sets(self.ends(proposed))
         links = self.linked(proposed, sets)
         discard(sets)
-        label, root = components(links), self.roots(shared)
+        label, root = cut(components(links)), cut(self.roots(shared))
+        release(self.spark)
         named = shared.select("token", "node", "n", "pos").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
         rest = stash(named.join(mixed, "token").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")))
@@ -374,6 +378,7 @@ class NgramJoin:
         sets = self.cut_sets(self.ends(far).union(members.select("node")).union(members.select("root")).distinct())
         found = self.differences(members, sets)
         moved = self.recentred(members, found)
+        release(self.spark)
         again = self.differences(moved, sets)
         rooted, close = self.within(found.join(moved.select("node"), "node", "left_anti").unionByName(again))
         discard(found)
