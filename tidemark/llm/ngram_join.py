@@ -10,7 +10,7 @@ summed per pair. The first fragments, as far as a set's prefix reaches, also pro
    first round each prefix shingle proposes only (its smallest node, each other one): stars, so a group of thousands of
    near copies makes no list of pairs. Proposed pairs are counted by fragment; links give components.
 3. Only nodes with a prefix shingle that two components share can still have a link that matters. They are dealt into
-   groups: a node follows the smaller node that it shares most prefix shingles with (a twelfth at least), up to a root. Within a group sets
+   groups: a node follows the smaller node that it shares most prefix shingles with (a quarter at least), up to a root. Within a group sets
    are replaced by their differences from the root's set, taken by fragment. Symmetric differences of sets are those of
    the differences, so two sets link only where these share half as much as they exceed the bound by; what most of a
    group has falls out, and the rarest differences propose the pairs by the prefix and position bounds. Features that one
@@ -276,10 +276,10 @@ class NgramJoin:
         return f"both >= ({p} * (na + nb) + {99 + p}) div {100 + p} - greatest({rest('na')}, {rest('nb')})"
 
     def roots(self, shared: DataFrame) -> DataFrame:
-        """(node, root): each node follows the smaller one that it shares most prefix shingles with, a twelfth at least."""
+        """(node, root): each node follows the smaller one that it shares most prefix shingles with, a quarter at least."""
         met = shared.where("a <> node").groupBy("node", "n", "a").agg(F.count("*").alias("both"))
         best = met.groupBy("node", "n").agg(F.max(F.struct("both", "a")).alias("best"))
-        hubs = best.where(f"12 * best.both >= n - ({self.percent} * n + 99) div 100 + 1").select(F.col("node").alias("a"), F.col("best.a").alias("b"))
+        hubs = best.where(f"4 * best.both >= n - ({self.percent} * n + 99) div 100 + 1").select(F.col("node").alias("a"), F.col("best.a").alias("b"))
         return components(hubs).withColumnRenamed("label", "root")
 
     def across(self, rest: DataFrame) -> DataFrame:
