@@ -131,6 +131,22 @@ CELL = {
 METRICS = "(VALUES ('rms_level', 'RMS level', 'dBFS', 'mean level of the series'), ('peak_level', 'Peak level', 'dBFS', 'highest level of any interval'), ('momentary', 'Momentary loudness', 'LUFS', 'mean momentary loudness'), ('kurtosis', 'Kurtosis', '', 'peakedness of the spectrum'), ('flatness', 'Flatness', '', 'noise-like against tonal'), ('flux', 'Flux', '', 'change between intervals')) AS d(metric, label, unit, meaning)"
 
 
+DURATION = "CASE WHEN {x} < 60 THEN printf('%.1fs', {x}) WHEN {x} < 3600 THEN printf('%dm %ds', CAST(floor({x}) AS BIGINT) // 60, CAST(floor({x}) AS BIGINT) % 60) ELSE printf('%dh %dm %ds', CAST(floor({x}) AS BIGINT) // 3600, CAST(floor({x}) AS BIGINT) % 3600 // 60, CAST(floor({x}) AS BIGINT) % 60) END"
+ADVICE = "CASE WHEN peak >= 0 THEN 'Clipping. ' WHEN peak > -1 THEN 'Hot. ' WHEN peak < -12 THEN 'Quiet. ' ELSE 'Level well set. ' END || printf('Peaks at %+.1f ㏈TP. ', peak) || CASE WHEN peak > -1 THEN printf('Lower input gain ~%.0f ㏈.', abs(round(-6 - peak))) WHEN peak < -12 THEN printf('Raise input gain ~%.0f ㏈.', abs(round(-6 - peak))) ELSE 'No action required.' END"
+
+CHAIN_START = "'aformat=channel_layouts=mono', 'highpass=f=80:poles=2:width_type=q:width=0.707:normalize=1:a=tdii', 'lowpass=f=20500:poles=2:width_type=q:width=0.707:normalize=1:a=tdii'"
+CHAIN_DYNAMICS = "printf('agate=threshold=%.6f:ratio=%.1f:attack=5.00:release=200:range=%.4f:knee=3.0:detection=rms:makeup=1.0', pow(10, gate_db / 20), CAST(gate_ratio AS DOUBLE), pow(10, -depth / 20)), printf('acompressor=threshold=%.6f:ratio=3.0:attack=10:release=200:makeup=1.00:knee=4.0:detection=rms:mix=1.00', pow(10, comp / 20)), CASE WHEN deess > 0 THEN printf('deesser=i=%.2f:m=0.50:f=0.80', CAST(deess AS DOUBLE)) END"
+CHAIN_END = "'aformat=sample_rates=44100:channel_layouts=mono:sample_fmts=s16,asetnsamples=n=4096'"
+BANDS = "list_transform(range(15), lambda b: CASE WHEN (s + b) % 17 <> 0 THEN -60.0::DOUBLE + (s * (b + 1)) % 31 END)"
+SHAPE = f"array_to_string(list_transform({BANDS}, lambda v: printf('%.1f', CASE WHEN v IS NULL THEN 0.0 ELSE greatest(-24, least(24, v - list_avg({BANDS}))) END::DOUBLE)), '|')"
+DENOISE = f"'anlmdn=s=0.00001:p=0.0060:r=0.0020:m=3', CASE WHEN NOT voice_activated THEN concat('afftdn=nr=12:nt=', CASE WHEN finite_bands >= 10 AND separation >= 12 AND room_flatness >= 0.45 THEN 'custom:bn=' || {SHAPE} ELSE 'w' END, ':tn=0:nf=', regexp_replace(CAST(greatest(-80, least(-20, floor)) AS VARCHAR), '\\.0$', '')) END"
+ANALYSIS = "'astats=metadata=1:measure_perchannel=all,aspectralstats=win_size=2048:win_func=hann:measure=all,ebur128=metadata=1:peak=sample+true:dualmono=true:target=-16'"
+
+
+def chain(*steps: str) -> str:
+    return f"SELECT series_id, concat_ws(',', {', '.join(steps)}) AS spec FROM tuned"
+
+
 def cell(x: str) -> str:
     return "CASE " + " ".join(f"WHEN unit = '{unit}' THEN {text.format(x=x)}" for unit, text in CELL.items()) + f" END AS {x}"
 
@@ -163,6 +179,7 @@ ORACLE_SQL: dict[str, str] = {name: EVENTS + sql for name, sql in {
     "gate_statistics": f"SELECT series_id, {r6('voiced_low', 'noise_high')}, round(voiced_low - noise_high, 6) AS separation FROM gate",
     "stage_alignment": f"SELECT series_id, metric, {r6('\"input\"', 'filtered', 'final')} FROM aligned",
     "metric_report_rows": f"SELECT series_id, metric, label, unit, meaning, {cell('\"input\"')}, {cell('filtered')}, {cell('final')} FROM aligned JOIN {METRICS} USING (metric)",
+    "markdown_report": f"SELECT series_id, concat('| Metric | Input | Filtered | Final | Unit | Meaning |', chr(10), '|---|---|---|---|---|---|', chr(10), array_to_string(list_sort(list(concat('| ', label, ' | ', \"input\", ' | ', filtered, ' | ', final, ' | ', coalesce(nullif(unit, ''), '-'), ' | ', meaning, ' |'))), chr(10))) AS markdown FROM (SELECT series_id, label, unit, meaning, {cell('\"input\"')}, {cell('filtered')}, {cell('final')} FROM aligned JOIN {METRICS} USING (metric)) GROUP BY 1",
 }.items()}
 ORACLE_SQL |= {name: SPECTRA + sql for name, sql in {
     "spectral_moments": f"SELECT vec_id, {r6('mean', 'variance', 'centroid', 'spread', 'skewness', 'kurtosis')} FROM st",
@@ -177,7 +194,9 @@ ORACLE_SQL |= {name: MEASURED + sql for name, sql in {
     "adaptive_gate": "SELECT series_id, round(gate_db, 6) AS gate_threshold_db, CASE WHEN has_speech THEN round(free, 6) ELSE 0 END AS gate_unclamped_db, CAST(gate_ratio AS DOUBLE) AS gate_ratio, CAST(depth AS DOUBLE) AS gate_depth_db, CASE WHEN NOT has_speech THEN '' WHEN narrow THEN 'narrow_gap' ELSE 'none' END AS gate_reason, round(CASE WHEN has_speech THEN voiced_low - gate_db ELSE 0 END, 6) AS gate_headroom_db FROM tuned",
     "adaptive_deesser": "SELECT series_id, round(deess, 6) AS deess_intensity FROM tuned",
     "adaptive_compressor": "SELECT series_id, round(comp, 6) AS compressor_threshold_db FROM tuned",
-    "filter_spec": "SELECT series_id, concat_ws(',', 'aformat=channel_layouts=mono', 'highpass=f=80:poles=2:width_type=q:width=0.707:normalize=1:a=tdii', 'lowpass=f=20500:poles=2:width_type=q:width=0.707:normalize=1:a=tdii', printf('agate=threshold=%.6f:ratio=%.1f:attack=5.00:release=200:range=%.4f:knee=3.0:detection=rms:makeup=1.0', pow(10, gate_db / 20), CAST(gate_ratio AS DOUBLE), pow(10, -depth / 20)), printf('acompressor=threshold=%.6f:ratio=3.0:attack=10:release=200:makeup=1.00:knee=4.0:detection=rms:mix=1.00', pow(10, comp / 20)), CASE WHEN deess > 0 THEN printf('deesser=i=%.2f:m=0.50:f=0.80', CAST(deess AS DOUBLE)) END, 'aformat=sample_rates=44100:channel_layouts=mono:sample_fmts=s16,asetnsamples=n=4096') AS spec FROM tuned",
+    "filter_spec": chain(CHAIN_START, CHAIN_DYNAMICS, CHAIN_END),
+    "filter_chain": chain(CHAIN_START, DENOISE, CHAIN_DYNAMICS, ANALYSIS, CHAIN_END),
+    "text_formats": f"SELECT series_id, CASE WHEN integrated * 3 <= -120 THEN '< -120' ELSE printf('%.1f', integrated * 3) END AS db, CASE WHEN integrated * 2 < -70 THEN '< -70' ELSE printf('%.1f', integrated * 2) END AS lufs, printf('%+.1f', peak) AS signed, {DURATION.format(x='(range_lu * 300)')} AS duration, CASE trunc(range_lu / 7) WHEN 1 THEN 'mono' WHEN 2 THEN 'stereo' ELSE CAST(trunc(range_lu / 7) AS INT) || ' channels' END AS channels, {ADVICE} AS advice, 's' || series_id || '-LUFS-' || CAST(round(abs(integrated)) AS INT) || '-processed.flac' AS name FROM m",
     "limiter_plan": "SELECT series_id, round(gain_db, 6) AS gain_db, needed, needed AND free < -24 AS limit_clamped, round(greatest(0, -24 - free), 6) AS pre_gain_db, round(CASE WHEN NOT needed THEN 0 ELSE greatest(free, -24) END, 6) AS ceiling_db FROM lim",
     "linear_target": "SELECT series_id, round(inner_peak, 6) AS inner_peak_db, true AS linear, -16.0::DOUBLE AS target_lufs, round(gain_db, 6) AS offset_db, round(greatest(-9, least(0, inner_peak)), 6) AS emitted_peak_db, -1.9::DOUBLE AS brickwall_db FROM lim",
     "normalisation_result": "SELECT series_id, CASE WHEN integrated < -70 THEN 'silent' ELSE 'ok' END AS status, round(integrated + range_lu / 25 + 16, 6) AS deviation_lu, integrated >= -70 AND abs(integrated + range_lu / 25 + 16) <= 0.5 AS within_target, NOT has_bands AS varied FROM m",
