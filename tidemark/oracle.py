@@ -125,7 +125,7 @@ flux AS (SELECT b.vec_id, sqrt(sum(pow(b.v - coalesce(p.v, 0), 2))) AS flux FROM
 
 CELL = {
     "dBFS": "CASE WHEN {x} IS NULL THEN '-' WHEN {x} <= -120 THEN '< -120' ELSE printf('%.1f', round({x}, 1)) END",
-    "LUFS": "CASE WHEN {x} IS NULL THEN '-' WHEN {x} <= -120 THEN '< -120' WHEN {x} < -70 THEN '< -70' ELSE printf('%.1f', round({x}, 1)) END",
+    "LUFS": "CASE WHEN {x} IS NULL THEN '-' WHEN {x} < -70 THEN '< -70' ELSE printf('%.1f', round({x}, 1)) END",
     "": "CASE WHEN {x} IS NULL THEN '-' WHEN abs({x}) > 0 AND abs({x}) < 0.0001 THEN printf('%.2e', {x}) ELSE printf('%.4f', round({x}, 4)) END",
 }
 METRICS = "(VALUES ('rms_level', 'RMS level', 'dBFS', 'mean level of the series'), ('peak_level', 'Peak level', 'dBFS', 'highest level of any interval'), ('momentary', 'Momentary loudness', 'LUFS', 'mean momentary loudness'), ('kurtosis', 'Kurtosis', '', 'peakedness of the spectrum'), ('flatness', 'Flatness', '', 'noise-like against tonal'), ('flux', 'Flux', '', 'change between intervals')) AS d(metric, label, unit, meaning)"
