@@ -1,6 +1,8 @@
 """Sound, JSON and text sources, spectra, and the streaming form."""
 
+import io
 import json
+import wave
 
 import numpy as np
 import pytest
@@ -23,6 +25,51 @@ def test_wav_to_intervals(spark, tmp_path):
     assert wav.metadata(spark, str(tmp_path)).count() == 2
 
 
+def sound(width, channels, values, rate=1000):
+    """A file of the values between -1 and 1, the same in each channel."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(width)
+        w.setframerate(rate)
+        for v in values:
+            n = round(v * ((1 << (8 * width - 1)) - 1)) + (128 if width == 1 else 0)
+            w.writeframes(n.to_bytes(width, "little", signed=width > 1) * channels)
+    return out.getvalue()
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 4])
+@pytest.mark.parametrize("channels", [1, 2])
+def test_widths_and_channels_give_the_same_levels(width, channels):
+    values = [0.5, -0.25, 1.0, -1.0, 0.0] * 20
+    rows = [r for df in wav.frames_of("a", sound(width, channels, values), 50) for r in df.itertuples()]
+    assert [(r.frame, r.samples) for r in rows] == [(0, 50 * channels), (1, 50 * channels)]
+    assert rows[0].peak == pytest.approx(1.0, abs=0.01)
+    assert sum(r.sum_squares for r in rows) / channels == pytest.approx(sum(v * v for v in values), rel=0.02)
+
+
+def test_ranges_equal_the_frames_of_the_whole(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(wav.synthetic_wav(2.0, rate=8000))
+    frames = lambda **k: {r.frame: tuple(r) for r in wav.read_frames(spark, str(tmp_path), 400, **k).collect()}
+    whole = frames()
+    assert sorted(whole) == list(range(40))
+    for got, wanted in ((frames(start_s=1.01), range(20, 40)), (frames(start_s=1.0, end_s=1.2), range(20, 24)), (frames(start_s=1.0, end_s=1.1, pre_roll_s=0.5), range(10, 22)), (frames(start_s=0.2, end_s=0.3, pre_roll_s=5.0), range(6)), (frames(start_s=2.0), ()), (frames(start_s=0.5, end_s=0.5), ())):
+        assert got == {k: whole[k] for k in wanted}
+
+
+def test_headers_say_why_a_file_gives_no_frames(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(sound(3, 2, [0.1] * 500))
+    (tmp_path / "b.wav").write_bytes(b"no sound")
+    (tmp_path / "c.wav").write_bytes(b"")
+    (tmp_path / "d.wav").write_bytes(sound(2, 1, []))
+    got = {r.series_id[-5]: r for r in wav.headers(spark, str(tmp_path)).collect()}
+    assert tuple(got["a"])[1:] == (2, 1000, 24, 0.5, None)
+    assert tuple(got["d"])[1:] == (1, 1000, 16, 0.0, None)
+    assert got["b"].error.startswith("not a PCM WAV") and got["b"].rate_hz is None
+    assert got.keys() == {"a", "b", "d"}
+    assert {r.series_id[-5] for r in wav.read_frames(spark, str(tmp_path)).select("series_id").distinct().collect()} == {"a"}
+
+
 def test_greedy_intervals_restart_at_the_closing_frame(spark):
     frames = spark.createDataFrame([("a", i * 0.1, 1.0, 10, 0.5) for i in range(10)], "series_id string, start_s double, sum_squares double, samples long, peak double")
     got = sorted((round(r.ts, 1), r.frames) for r in intervals.greedy_intervals(frames).collect())

@@ -15,40 +15,82 @@ FRAME = 4096
 WINDOW = 2048
 
 
-def read_frames(spark: SparkSession, path: str, frame: int = FRAME) -> DataFrame:
-    """(series_id, frame, start_s, sum_squares, samples, peak, spectrum) of every WAV file below path.
+def sounds(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
 
-    The first channel layout is kept for levels (all channels count); the spectrum is that of the mono mix, Hann window,
-    WINDOW points. A file that is no PCM WAV gives no rows.
+
+def read_frames(spark: SparkSession, path: str, frame: int = FRAME, start_s: float = 0.0, end_s: float | None = None, pre_roll_s: float = 0.0) -> DataFrame:
+    """(series_id, frame, start_s, sum_squares, samples, peak, rate_hz, spectrum) of every WAV file below path.
+
+    All channels count for levels; the spectrum is that of the mono mix, Hann window, WINDOW points. A range begins with the
+    frame that holds start_s less the pre-roll and ends before end_s; frames keep their numbers and times in the file, so a
+    caller drops the pre-roll by start_s. A range beyond the end gives no rows. One task decodes a file, 2 GB at most. A file
+    that is no PCM WAV gives no rows here and its reason in headers().
     """
     schema = "series_id string, frame long, start_s double, sum_squares double, samples long, peak double, rate_hz long, spectrum array<double>"
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"]):
-                for rows in frames_of(name, content, frame):
-                    yield rows
+                yield from frames_of(name, content, frame, max(0.0, start_s - pre_roll_s), end_s)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
-    return files.select("path", "content").mapInPandas(decode, schema)
+    return sounds(spark, path).select("path", "content").mapInPandas(decode, schema)
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """(series_id, bytes) without decoding: the content column is pruned."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path).select(F.col("path").alias("series_id"), F.col("length").alias("bytes"))
+    return sounds(spark, path).select(F.col("path").alias("series_id"), F.col("length").alias("bytes"))
+
+
+def headers(spark: SparkSession, path: str) -> DataFrame:
+    """(series_id, channels, rate_hz, bits, duration_s, error) of every file, its samples undecoded; error says why one gives no frames.
+
+    A file of no bytes gives no row, as Spark's file sources leave it out; nor does metadata() list it.
+    """
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                sound, error = opened(content)
+                told = [None] * 4 if sound is None else [sound.getnchannels(), sound.getframerate(), 8 * sound.getsampwidth(), sound.getnframes() / sound.getframerate()]
+                yield pd.DataFrame([[name, *told, error]], columns=["series_id", "channels", "rate_hz", "bits", "duration_s", "error"], dtype=object)
+
+    return sounds(spark, path).select("path", "content").mapInPandas(look, "series_id string, channels int, rate_hz int, bits int, duration_s double, error string")
 
 
-def frames_of(name: str, content: bytes, frame: int) -> Iterator[pd.DataFrame]:
+def opened(content: bytes) -> tuple[wave.Wave_read | None, str | None]:
+    """A sound at its start, or why it can't be read."""
     try:
         sound = wave.open(io.BytesIO(content))  # noqa: SIM115
-    except (wave.Error, EOFError):
+    except (wave.Error, EOFError) as e:
+        return None, f"not a PCM WAV file: {e or 'it ends early'}"
+    if sound.getsampwidth() not in (1, 2, 3, 4) or not sound.getnchannels() or not sound.getframerate():
+        return None, "not a PCM WAV file: odd sample width, channels or rate"
+    return sound, None
+
+
+def samples_of(raw: bytes, width: int, channels: int) -> np.ndarray:
+    """Samples by channels, within -1 and 1; 8 bits are unsigned, 24 bits are widened; half a sample at the end is dropped."""
+    raw = raw[: len(raw) - len(raw) % (width * channels)]
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    elif width == 3:
+        x = np.pad(np.frombuffer(raw, np.uint8).reshape(-1, 3), ((0, 0), (1, 0))).view("<i4").ravel() / 2.0**31
+    else:
+        x = np.frombuffer(raw, f"<i{width}") / float(1 << (8 * width - 1))
+    return x.reshape(-1, channels)
+
+
+def frames_of(name: str, content: bytes, frame: int, start_s: float = 0.0, end_s: float | None = None) -> Iterator[pd.DataFrame]:
+    sound, _ = opened(content)
+    if sound is None:
         return
     channels, width, rate = sound.getnchannels(), sound.getsampwidth(), sound.getframerate()
-    if width not in (2, 4):
+    hann, at = np.hanning(WINDOW + 1)[:-1], int(start_s * rate) // frame * frame
+    if at >= sound.getnframes():
         return
-    scale, hann, at = float(1 << (8 * width - 1)), np.hanning(WINDOW + 1)[:-1], 0
-    while raw := sound.readframes(frame):
-        x = np.frombuffer(raw, f"<i{width}").reshape(-1, channels) / scale
+    sound.setpos(at)
+    while (end_s is None or at / rate < end_s) and len(x := samples_of(sound.readframes(frame), width, channels)):
         mono = np.zeros(WINDOW)
         mono[: min(WINDOW, len(x))] = x.mean(1)[:WINDOW]
         spectrum = np.abs(np.fft.rfft(mono * hann))[: WINDOW // 2]
