@@ -188,6 +188,62 @@ def test_field_scores_words_of_letters(spark):
         assert not secret_scan.scan_text(text, field)[1], text
 
 
+def random_text(rng, n=400):
+    letters = "aeibcdfgstZQAB012359=:_+/@-.,;!?()\"'éßΩ中"
+    word = lambda: rng.choice(["password", "key:", "(token)", "PassPhrase", "url://x", "...", "=", "x=="]) if rng.random() < 0.2 else "".join(rng.choice(letters) for _ in range(rng.randint(1, 14)))
+    return "".join(word() + rng.choice([" ", " ", "\n", " \t "]) for _ in range(n))
+
+
+def test_field_scores_every_word():
+    """Short words of letters, far from any hint, are in the lattice like all others."""
+    field = secret_scan.Field({"len0": 0}, np.array([[0.0, 1.0, 0.0]]), np.array([[0.0, 0.0, -1e4], [0.0] * 3, [0.0] * 3]))
+    assert [(a, b) for a, _, b in secret_scan.scan_text("an ox sits by the water", field)[1]] == [(0, 2), (3, 5), (11, 13), (14, 17)]
+
+
+def test_words_between_certain_ones_decode_as_the_whole_text():
+    rng, some = np.random.default_rng(3), random.Random(3)
+    names = {n: i for i, n in enumerate(dict.fromkeys(n for k, size in enumerate(secret_scan.SIZES) for code in range(size) for n in secret_scan.names_of(k, code)))}
+    certain = 0
+    for k in range(12):
+        field = secret_scan.Field(names, rng.normal(size=(len(names), 3)) + [0.1 * k, 0, 0], rng.normal(size=(3, 3)))
+        field.moves[0, 2] = -1e4
+        text = random_text(some)
+        ((spans, codes, odd),) = secret_scan.coded([text])
+        file = secret_scan.file_features(text, int(odd.sum()))
+        feats, _ = secret_scan.stretch(codes, [0] * len(spans), file, 0, len(spans))
+        e, wanted = field.scores(feats), []
+        certain += int(secret_scan.settled(e[:, 1:] - e[:, :1], field.moves).sum())
+        for (a, b), tag in zip(spans.tolist(), secret_scan.viterbi(e, field.moves)):
+            if tag == 1:
+                wanted.append((a, b))
+            elif tag == 2:
+                wanted[-1] = (wanted[-1][0], b)
+        assert next(field.found([text])) == wanted
+    assert certain > 400
+
+
+def test_codes_of_words_by_hand_and_in_pieces(monkeypatch):
+    some = random.Random(4)
+    texts = [random_text(some, n) for n in (0, 1, 7, 300)] + ["", " ", "a", "x" * 500 + " password " + "y" * 300]
+    whole = list(secret_scan.coded(texts))
+    for text, (spans, codes, _) in zip(texts, whole):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        assert [text[a:b] for a, b in spans.tolist()] == words
+        hints = [m and 1 + (m[0].lower() == "passphrase") for m in map(secret_scan.HINT.search, words)]
+        for i, (word, got) in enumerate(zip(words, codes.T.tolist())):
+            core = word.strip(".,;:!?()[]{}\"'")
+            value = re.split("[:=]", core)[-1].strip("\"'") or core
+            n = len(value)
+            runs = [len(x) for x in re.findall("[b-df-hj-np-tv-xz]+", core.lower())]
+            wanted = {"len": min(n, 64) // 4, "digits": 4 * sum(map(str.isdigit, value)) // max(n, 1), "changes": min(6, 8 * sum((a.isdigit() != b.isdigit()) or (a.isupper() != b.isupper()) for a, b in zip(value, value[1:])) // max(n, 1)), "hex": 2 * bool(re.fullmatch("[0-9a-fA-F]+", value)) + (n >= 12), "plain": bool(re.fullmatch("[A-Za-z0-9+/_.=-]+", value)), "url": "://" in core, "assigned": bool(re.search("[:=].", core)), "consonants": min(6, max(runs, default=0)), "letters": 9 * core.isalpha() + min(n, 32) // 4, "mixed": sum(any(map(f, value)) for f in (str.isdigit, str.isupper, str.islower))}
+            assert {k: got[list(secret_scan.SHAPE).index(k)] for k in wanted} == wanted, word
+            near = next((2 * k + h for k in range(secret_scan.REACH) if i > k and (h := hints[i - 1 - k])), 0)
+            assert got[-2] == near
+    monkeypatch.setattr(secret_scan, "PIECE", 40)
+    for one, other in zip(whole, secret_scan.coded(texts)):
+        assert all(np.array_equal(a, b) for a, b in zip(one, other))
+
+
 def test_n_best_equals_all_paths():
     rng, own = random.Random(5), piece_lattice.Lattice()
 
