@@ -388,3 +388,26 @@ def test_pipeline(spark, tmp_path):
     assert {2000, 2001} & set(found[2]) == set() and set(clean) <= set(found[2])
     assert "[SECRET]" in found[3][2003].text and found[3][2003].n_chars == len(found[3][2003].text)
     assert set(found[4]) == set(found[3])
+
+
+def test_new_pieces_share_library_calls():
+    from tidemark.llm.pieces import Encoder
+
+    rng, own = random.Random(8), Encoder("byte_bpe_50k.json", True)
+    library, calls = own.library, []
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda *a, **k: (calls.append(len(a[0])), getattr(library, name)(*a, **k))[1]
+
+    word = lambda: "".join(rng.choice("abcdeéßΩ中12'.,!#") for _ in range(rng.randint(1, 9)))
+    texts = [rng.choice(["\n", " "]).join(word() for _ in range(400)) for _ in range(20)] + ["", "a", "\0x y", "a  b", "<|endoftext|> it's", "a\x1cb", "a\tb"]
+    own.library = Counted()
+    got = own(texts)
+    own.library = library
+    assert sum(calls) < 4000  # library texts; before, one for each of some 7,800 different pieces
+    for text, ids in zip(texts, got):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+    for most in (0, 1 << 10, 1 << 40):
+        own.trim(most)
+        assert [x.tolist() for x in own(texts)] == [x.tolist() for x in got]

@@ -3,7 +3,9 @@
 A text is cut only where the tokenizer itself always cuts, so joining the pieces' ids equals encoding the whole
 text. The cache of a Python worker outlives its tasks, as the next task reads much the same words. It has two
 generations: when the younger one has MAX_BYTES it becomes the older one, whose pieces stay only if they are seen again,
-so a worker keeps twice that at most and the frequent pieces survive; after a task half of one generation stays at most. Texts are taken in groups of GROUP characters, and
+so a worker keeps twice that at most and the frequent pieces survive; after a task one generation stays at most, by
+default half of one. New pieces that follow a space go to the library as lines of one text, as a line feed between them
+is a token of its own there. Texts are taken in groups of GROUP characters, and
 a text that alone has more is encoded by the library, so one batch cannot overshoot the bound by more than a group.
 """
 
@@ -24,6 +26,9 @@ ENTRY = 180
 #: White space other than a single space or line feed, or two white-space characters in a row.
 ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0  -     　\x1c-\x1f​﻿]|[ \n]{2}")
 
+#: The same below U+0080, and what marks a first piece: a search for each is faster than the expression.
+ODD = ("  ", " \n", "\n ", "\n\n", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+
 #: str.split() cuts at these, the library does not.
 CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -41,20 +46,43 @@ class Encoder:
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
+        self.line = self.library.encode("\n", add_special_tokens=False).ids[0] if keeps_space else None
 
     def whole(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16)
+        (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)  # without offsets
+        return np.array(found.ids, np.uint16)
 
     def learn(self, pieces: list[str]) -> None:
+        if self.keeps_space:
+            pieces = [*self.learn_lines([p for p in pieces if p[:1] != "\0" and "\n" not in p]), *(p for p in pieces if p[:1] == "\0" or "\n" in p)]
         for i in range(0, len(pieces), 4096):
             part = pieces[i : i + 4096]
             for piece, e in zip(part, self.library.encode_batch_fast([self.as_text(p) for p in part], add_special_tokens=False)):
                 self.keep(piece, np.array(e.ids, np.uint16).tobytes())
 
-    def trim(self) -> None:
-        """After a task: only the younger generation stays, and only up to half its bound."""
-        self.older = {}
-        if self.held > MAX_BYTES // 2:
+    def learn_lines(self, pieces: list[str]) -> list[str]:
+        """Learns pieces that follow a space, many in one call; returns those of calls whose lines can't be told apart."""
+        left = []
+        for i in range(0, len(pieces), 512):
+            part = pieces[i : i + 512]
+            ids = self.whole(" " + "\n ".join(part) + "\n")
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) != len(part):
+                left += part
+                continue
+            data, at = ids.tobytes(), 0
+            for piece, end in zip(part, (2 * ends).tolist()):
+                self.keep(piece, data[at:end])
+                at = end + 2
+        return left
+
+    def trim(self, most: int = MAX_BYTES // 2) -> None:
+        """After a task: only the younger generation stays, and only up to most bytes; with MAX_BYTES or more as the older one."""
+        if most >= MAX_BYTES and self.held > MAX_BYTES // 2:
+            self.cache, self.older, self.held = {}, self.cache, 0
+            return
+        self.older = {} if most < MAX_BYTES else self.older
+        if self.held > most:
             self.cache, self.held = {}, 0
 
     def keep(self, piece: str, ids: bytes) -> None:
@@ -71,7 +99,7 @@ class Encoder:
         """Pieces, or None where only the whole text is safe."""
         if not self.keeps_space:
             return None if CONTROL.search(text) else text.split()
-        if "\0" in text or ODD_SPACE.search(text) or text[-1:] in " \n" or text[:1] in " \n":
+        if text[-1:] in " \n" or text[:1] in " \n" or any(c in text for c in ODD) or not text.isascii() and ODD_SPACE.search(text):
             return None
         first, *rest = text.replace("\n", " \n").split(" ")
         return [f"\0{first}", *rest]
@@ -92,17 +120,27 @@ class Encoder:
         if self.held > MAX_BYTES:
             self.cache, self.older, self.held = {}, self.cache, 0
         have, older = self.cache, self.older
-        new = {p for pieces in cut if pieces for p in pieces if p not in have}
-        if new:
+        flat = [p for pieces in cut if pieces for p in pieces]
+        ids = list(map(have.get, flat))
+        missing = [i for i, found in enumerate(ids) if found is None]
+        if missing:
             unknown = []
-            for p in new:
-                if (ids := older.get(p)) is None:
+            for p in dict.fromkeys([flat[i] for i in missing]):
+                if (found := older.get(p)) is None:
                     unknown.append(p)
                 else:
-                    self.keep(p, ids)
+                    self.keep(p, found)
             self.learn(unknown)
-        get = have.__getitem__
-        return [self.whole(t) if pieces is None else np.frombuffer(b"".join(map(get, pieces)), np.uint16) for t, pieces in zip(texts, cut)]
+            for i in missing:
+                ids[i] = have[flat[i]]
+        out, at = [], 0
+        for text, pieces in zip(texts, cut):
+            if pieces is None:
+                out.append(self.whole(text))
+            else:
+                out.append(np.frombuffer(b"".join(ids[at : at + len(pieces)]), np.uint16))
+                at += len(pieces)
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, fresh_dir, null_safe_texts, partitions_for, small, table
-from tidemark.llm.pieces import encoder
+from tidemark.llm.pieces import MAX_BYTES, encoder
 
 MAGIC = b"TMRANS1\n"
 SCALE_BITS = 20
@@ -57,10 +57,13 @@ class Coder:
     def __init__(self, symbols: np.ndarray, freqs: np.ndarray):
         self.symbols, self.f = symbols, freqs.astype(np.uint64)
         self.cum = np.concatenate(([0], np.cumsum(freqs)[:-1])).astype(np.uint64)
-        self.slots = None
+        self.slots = self.places = None
 
     def ranks(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.symbols, ids)
+        if self.places is None:
+            self.places = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, np.int64)
+            self.places[self.symbols] = np.arange(len(self.symbols))
+        return self.places[ids]
 
     def encode(self, ids: np.ndarray) -> bytes:
         """u32 token count, u32 lanes, final states, words in the order of decoding."""
@@ -206,7 +209,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
                 ids += (got, tail)
                 lengths.append(len(got) + 1)
             doc_ids += batch.column("doc_id").to_pylist()
-        encode.trim()
+        encode.trim(MAX_BYTES)
         if not doc_ids:
             return
         part = TaskContext.get().partitionId()
