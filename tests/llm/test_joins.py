@@ -90,6 +90,31 @@ def test_ngram_join_of_a_group_at_the_threshold(spark):
     assert 1 < len(set(wanted)) < 200
 
 
+def test_groups_meet_only_where_enough_follows(spark):
+    """A shingle that many sets of all sizes have: late in all prefixes it proposes nothing, and what it may propose stays."""
+    p, rng = 85, random.Random(5)
+    join = object.__new__(ngram_join.NgramJoin)
+    join.percent = p
+    schema = "token long, node long, n long, pos long, label long, root long"
+    late = [(1, i, 100 + i % 8, ngram_join.prefix_length(100 + i % 8, p), i, i) for i in range(300)]
+    found = spark.createDataFrame(late, schema)
+    assert join.across(found).collect() == []
+    assert join.meetings(found).count() < 1000  # by the sets' numbers alone 44,850
+    sizes = [rng.randint(1, 60) for _ in range(80)]
+    rows = [(token, i, n, pos + 1, i % 50, i % 60) for i, n in enumerate(sizes) for pos, token in enumerate(sorted(rng.sample(range(14), min(14, ngram_join.prefix_length(n, p)))))]
+    wanted = set()
+    for (i, x), (j, y) in itertools.combinations(enumerate(sizes), 2):
+        if i % 60 == j % 60 or i % 50 == j % 50 or 100 * min(x, y) < p * max(x, y):
+            continue
+        need, most = -(-p * (x + y) // (100 + p)), max(-(-p * x // 100), -(-p * y // 100)) - 1
+        ell = max(1, (need - most + 1) // 2)
+        places = [(a[3], b[3]) for a in rows for b in rows if a[1] == i and b[1] == j and a[0] == b[0] and ell + min(x - a[3], y - b[3]) >= need]
+        if places and len(places) >= ell and len(places) + min(x - max(a for a, _ in places), y - max(b for _, b in places)) >= need:
+            wanted.add((i, j, x, y))
+    got = join.across(spark.createDataFrame(rows, schema)).collect()
+    assert len(got) == len(wanted) > 20 and {tuple(r) for r in got} == wanted
+
+
 def test_ngram_join_of_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(5, a), (5, b), (5, a), (3, b + " more"), (9, c), (9, c)]

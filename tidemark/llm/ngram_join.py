@@ -17,7 +17,8 @@ summed per pair. The first fragments, as far as a set's prefix reaches, also pro
    component alone has count as unshared. A pair too close for any difference to be shared is linked through the root.
    A group of RECENTRE or more first takes the member nearest to what most members have as its root, which joins most of
    what there is to join at once.
-4. Pairs from different groups share a prefix shingle; groups meet in it first, then their nodes, under the same bounds.
+4. Pairs from different groups share a prefix shingle; groups meet in it first, by classes of size and under the place
+   bounds of both classes, then their nodes.
 
 No link between different components is lost, and links within a component found before are not looked for: links() is
 a connecting subset of all links. Hashes have 58 bits or more: a collision may change an intersection by one.
@@ -46,6 +47,8 @@ FRAGMENTS = 5
 CHUNK = 1 << 18
 #: Groups from this size on look for a better root.
 RECENTRE = 8
+#: The ratio of neighbouring classes of size.
+CLASS = 1.05
 #: Texts that are turned into sets at a time.
 GROUP = 1000
 SLICE = 1 << 16
@@ -282,16 +285,40 @@ class NgramJoin:
         hubs = best.where(f"4 * best.both >= n - ({self.percent} * n + 99) div 100 + 1").select(F.col("node").alias("a"), F.col("best.a").alias("b"))
         return components(hubs).withColumnRenamed("label", "root")
 
+    def bounds(self):
+        """SQL of: what two sizes' sets must share; how many shingles in common have a place that leaves the rest behind
+        them, half of what prefixes can show; and whether a place leaves enough for the least size of class k, which
+        decides for the class as what must follow grows with the size."""
+        p = self.percent
+        need, rest_of = lambda x, y: f"(({p} * ({x} + {y}) + {99 + p}) div {100 + p})", lambda n: f"({p} * {n} + 99) div 100 - 1"
+        ell = lambda x, y: f"greatest(1, ({need(x, y)} - greatest({rest_of(x)}, {rest_of(y)}) + 1) div 2)"
+        least = lambda n, k: f"greatest(({p} * {n} + 99) div 100, cast(floor(power({CLASS}D, {k})) as bigint))"
+        return need, ell, lambda n, pos, k: f"{need(n, least(n, k))} - {ell(n, least(n, k))} <= {n} - {pos}"
+
+    def meetings(self, rest: DataFrame) -> DataFrame:
+        """(token, class_a, class_b, root_a, root_b): groups with nodes of two classes of size that a shingle may propose.
+
+        Whether a place leaves enough behind it depends on both sizes, so a shingle that many sets have late in their
+        prefixes proposes none of them.
+        """
+        _, _, early = self.bounds()
+        apart = math.ceil(math.log(100 / self.percent) / math.log(CLASS))
+        held = self.classed(rest).select("token", "root", "class", "n", "pos", F.expr(f"explode(sequence(class - {apart}, class + {apart}))").alias("other"))
+        held = held.where(early("n", "pos", "other")).select("token", "root", "class", "other").distinct()
+        low = held.where("other >= class").select("token", F.col("class").alias("class_a"), F.col("other").alias("class_b"), F.col("root").alias("root_a"))
+        high = held.where("other <= class").select("token", F.col("other").alias("class_a"), F.col("class").alias("class_b"), F.col("root").alias("root_b"))
+        return low.join(high, ["token", "class_a", "class_b"]).where("root_a < root_b OR class_a < class_b AND root_a <> root_b")
+
+    def classed(self, rest: DataFrame) -> DataFrame:
+        return rest.withColumn("class", F.expr(f"cast(floor(ln(n) / ln({CLASS}D)) as int)"))
+
     def across(self, rest: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) from different groups that share a prefix shingle."""
-        p = self.percent
-        held = rest.select("token", "root").distinct()
-        met = held.alias("x").join(held.alias("y"), "token").where("x.root < y.root").select("token", F.col("x.root").alias("root_a"), F.col("y.root").alias("root_b"))
-        one, two = (rest.select("token", F.col("root").alias(f"root_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "label"))) for x in "ab")
-        pairs = met.join(one, ["token", "root_a"]).join(two, ["token", "root_b"]).where("label_a <> label_b").where(self.near("n_a", "n_b"))
-        need, rest_of = f"(({p} * (n_a + n_b) + {99 + p}) div {100 + p})", lambda n: f"({p} * {n} + 99) div 100 - 1"
-        # The first ell shingles in common all have a place that leaves enough behind them; ell is half of what prefixes can show.
-        ell = f"greatest(1, ({need} - greatest({rest_of('n_a')}, {rest_of('n_b')}) + 1) div 2)"
+        need, ell, early = self.bounds()
+        one, two = (self.classed(rest).select("token", F.col("root").alias(f"root_{x}"), F.col("class").alias(f"class_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "label"))) for x in "ab")
+        pairs = self.meetings(rest).join(one, ["token", "root_a", "class_a"]).where(early("n_a", "pos_a", "class_b"))
+        pairs = pairs.join(two, ["token", "root_b", "class_b"]).where("label_a <> label_b").where(self.near("n_a", "n_b"))
+        need, ell = need("n_a", "n_b"), ell("n_a", "n_b")
         pairs = pairs.where(f"{ell} + least(n_a - pos_a, n_b - pos_b) >= {need}")
         last = F.least(F.col("n_a") - F.max("pos_a"), F.col("n_b") - F.max("pos_b"))
         pairs = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"), last.alias("last")).where(f"both >= {ell} AND both + last >= {need}")
