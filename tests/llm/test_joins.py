@@ -115,6 +115,55 @@ def test_groups_meet_only_where_enough_follows(spark):
     assert len(got) == len(wanted) > 20 and {tuple(r) for r in got} == wanted
 
 
+def test_a_large_group_meets_only_groups_with_enough_in_common(spark):
+    """One early shingle that a large group and many single sets have proposes nothing; a set with enough of them does."""
+    join = object.__new__(ngram_join.NgramJoin)
+    join.percent = 85
+    schema = "token long, node long, n long, pos long, label long, root long"
+    group = [(token, i, 145, token + 1, i, 0) for i in range(200) for token in range(9)]
+    single = [(i % 9, 1000 + i, 145, 5, 1000 + i, 1000 + i) for i in range(300)]
+    near = [(token, 5000, 145, token + 1, 5000, 5000) for token in range(12)]
+    found = spark.createDataFrame(group + single + near, schema)
+    assert {r.root_b for r in join.meetings(found).collect()} == {5000}  # 60,000 rows of nodes by the singles before
+    assert sorted(tuple(r) for r in join.across(found).collect()) == [(i, 5000, 145, 145) for i in range(200)]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_groups_of_many_sizes_meet_as_their_sets_do(spark, percent):
+    """Every pair of sets at the threshold from two groups is proposed, whatever sizes their groups have besides."""
+    rng = random.Random(percent)
+    sets, links = [], 0
+    for _ in range(12):
+        base = rng.sample(range(400), rng.randint(30, 130))
+        for _ in range(9):
+            sets.append(set(rng.sample(base, len(base) - rng.randint(0, len(base) // 9))) | set(rng.sample(range(400), rng.randint(0, len(base) // 9))))
+    rows, root = [], [rng.randrange(30) for _ in sets]
+    for i, s in enumerate(sets):
+        for pos, token in enumerate(sorted(s)[: ngram_join.prefix_length(len(s), percent)]):
+            rows.append((token, i, len(s), pos + 1, i, root[i]))
+    join = object.__new__(ngram_join.NgramJoin)
+    join.percent = percent
+    got = {(r.a, r.b) for r in join.across(spark.createDataFrame(rows, "token long, node long, n long, pos long, label long, root long")).collect()}
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            links += 1
+            assert (a, b) in got
+    assert links > 20
+
+
+def test_a_set_of_many_copies_proposes_once(spark, monkeypatch):
+    """Copies in many tasks, where the bitmap of wanted texts lets all through, as a full one does."""
+    monkeypatch.setattr(ngram_join, "bitmap", lambda ids, bits: np.ones(1 << bits, bool))
+    seen, across = [], ngram_join.NgramJoin.across
+    monkeypatch.setattr(ngram_join.NgramJoin, "across", lambda self, rest: seen.extend(rest.select("token", "node").collect()) or across(self, rest))
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)] * 40 + [" ".join(words[:30] + [f"v{k}{i}" for i in range(30)]) for k in range(2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = ngram_join.NgramJoin(docs).result().collect()
+    assert len(seen) == len(set(seen)) > 0
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0 if i < 40 else i) for i in range(42)]
+
+
 def test_ngram_join_of_repeated_ids(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(5, a), (5, b), (5, a), (3, b + " more"), (9, c), (9, c)]

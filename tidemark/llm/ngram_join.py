@@ -17,8 +17,9 @@ summed per pair. The first fragments, as far as a set's prefix reaches, also pro
    component alone has count as unshared. A pair too close for any difference to be shared is linked through the root.
    A group of RECENTRE or more first takes the member nearest to what most members have as its root, which joins most of
    what there is to join at once.
-4. Pairs from different groups share a prefix shingle; groups meet in it first, by classes of size and under the place
-   bounds of both classes, then their nodes.
+4. Pairs from different groups share a prefix shingle; groups meet in it first, by classes of size, under the place
+   bounds of the sizes that hold it, and in as many shingles as the least of their pairs must share. Only the nodes of
+   groups that are left meet, so a large group is not dealt out to each set that shares a shingle or two with it.
 
 No link between different components is lost, and links within a component found before are not looked for: links() is
 a connecting subset of all links. Hashes have 58 bits or more: a collision may change an intersection by one.
@@ -295,28 +296,44 @@ class NgramJoin:
         least = lambda n, k: f"greatest(({p} * {n} + 99) div 100, cast(floor(power({CLASS}D, {k})) as bigint))"
         return need, ell, lambda n, pos, k: f"{need(n, least(n, k))} - {ell(n, least(n, k))} <= {n} - {pos}"
 
+    def place(self, a: str, b: str, room: str) -> str:
+        """Whether sizes a and b, or the least of a group's, may link by a shingle with so many behind it; it only gets harder for larger ones."""
+        need, ell, _ = self.bounds()
+        lift = lambda x, y: f"greatest({x}, ({self.percent} * {y} + 99) div 100)"
+        x, y = lift(a, b), lift(b, a)
+        return f"{need(x, y)} - {ell(x, y)} <= {room}"
+
     def meetings(self, rest: DataFrame) -> DataFrame:
-        """(token, class_a, class_b, root_a, root_b): groups with nodes of two classes of size that a shingle may propose.
+        """(token, class_a, class_b, root_a, root_b, lo_b, room_b): groups with nodes of two classes of size that a shingle may propose.
 
         Whether a place leaves enough behind it depends on both sizes, so a shingle that many sets have late in their
-        prefixes proposes none of them.
+        prefixes proposes none of them. Two groups whose smallest and largest sizes ask for more shingles than they meet
+        in have no pair.
         """
-        _, _, early = self.bounds()
-        apart = math.ceil(math.log(100 / self.percent) / math.log(CLASS))
+        p, (_, _, early) = self.percent, self.bounds()
+        apart = math.ceil(math.log(100 / p) / math.log(CLASS))
         held = self.classed(rest).select("token", "root", "class", "n", "pos", F.expr(f"explode(sequence(class - {apart}, class + {apart}))").alias("other"))
-        held = held.where(early("n", "pos", "other")).select("token", "root", "class", "other").distinct()
-        low = held.where("other >= class").select("token", F.col("class").alias("class_a"), F.col("other").alias("class_b"), F.col("root").alias("root_a"))
-        high = held.where("other <= class").select("token", F.col("other").alias("class_a"), F.col("class").alias("class_b"), F.col("root").alias("root_b"))
-        return low.join(high, ["token", "class_a", "class_b"]).where("root_a < root_b OR class_a < class_b AND root_a <> root_b")
+        held = held.where(early("n", "pos", "other")).groupBy("token", "root", "class", "other").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"))
+        own = lambda x: (F.col(c).alias(f"{c}_{x}") for c in ("root", "lo", "hi", "room"))
+        low = held.where("other >= class").select("token", F.col("class").alias("class_a"), F.col("other").alias("class_b"), *own("a"))
+        high = held.where("other <= class").select("token", F.col("other").alias("class_a"), F.col("class").alias("class_b"), *own("b"))
+        met = low.join(high, ["token", "class_a", "class_b"]).where("root_a < root_b OR class_a < class_b AND root_a <> root_b")
+        met = cut(met.where(self.place("lo_a", "lo_b", "least(room_a, room_b)")))
+        keys = ["root_a", "class_a", "root_b", "class_b"]
+        both = met.groupBy(*keys).agg(F.count("*").alias("both"), *(F.min(f"lo_{x}").alias(f"lo_{x}") for x in "ab"), *(F.max(f"hi_{x}").alias(f"hi_{x}") for x in "ab"))
+        # In 100 (100 + p) parts: what sizes lo and hi must share exceeds what follows the larger one's prefix by.
+        over = lambda lo, hi: f"100 * {p} * ({lo} + {hi}) - {p} * {100 + p} * {hi}"
+        both = both.where(f"both >= (greatest(0, least({over('lo_a', 'hi_b')}, {over('lo_b', 'hi_a')})) div {100 * (100 + p)} + 2) div 2")
+        return met.join(both.select(*keys), keys).select("token", *keys, "lo_b", "room_b")
 
     def classed(self, rest: DataFrame) -> DataFrame:
         return rest.withColumn("class", F.expr(f"cast(floor(ln(n) / ln({CLASS}D)) as int)"))
 
     def across(self, rest: DataFrame) -> DataFrame:
         """Pairs (a, b, na, nb) from different groups that share a prefix shingle."""
-        need, ell, early = self.bounds()
+        need, ell, _ = self.bounds()
         one, two = (self.classed(rest).select("token", F.col("root").alias(f"root_{x}"), F.col("class").alias(f"class_{x}"), F.col("node").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "pos", "label"))) for x in "ab")
-        pairs = self.meetings(rest).join(one, ["token", "root_a", "class_a"]).where(early("n_a", "pos_a", "class_b"))
+        pairs = self.meetings(rest).join(one, ["token", "root_a", "class_a"]).where(self.place("n_a", "lo_b", "least(n_a - pos_a, room_b)"))
         pairs = pairs.join(two, ["token", "root_b", "class_b"]).where("label_a <> label_b").where(self.near("n_a", "n_b"))
         need, ell = need("n_a", "n_b"), ell("n_a", "n_b")
         pairs = pairs.where(f"{ell} + least(n_a - pos_a, n_b - pos_b) >= {need}")
@@ -379,8 +396,8 @@ class NgramJoin:
     def links(self) -> DataFrame:
         """Links (a, b) between nodes; they connect all that any links connect."""
         tokens = self.prefixes()
-        first = tokens.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("held")).where("held > 1").drop("held")
-        shared = stash(tokens.join(first, "token"))
+        first = tokens.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("top")).where("a <> top").drop("top")
+        shared = stash(tokens.join(first, "token").repartition("token", "node").distinct())  # a set may come more than once
         del tokens, first
         release(self.spark)
         proposed = self.stars(shared)
