@@ -7,9 +7,10 @@ import string
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tidemark.llm import common, embedding_dedup, ngram_join, packing, token_files
+from tidemark.llm import common, embedding_dedup, ngram_join, packing, pieces, token_files
 from tidemark.llm.pieces import encoder
 
 DOCS = "doc_id long, text string, lang string, n long"
@@ -282,6 +283,36 @@ def test_cached_ids_equal_the_library(name):
         assert ids.tolist() == own.whole(text).tolist(), text
 
 
+def test_columns_equal_the_library(monkeypatch):
+    rng = random.Random(14)
+    odd = [c.decode() for c in pieces.ODD_UTF8]
+    bits = ["a", "b", "É", "日本", "ß", "'s", "'ll", " ", " ", " ", " ", "  ", "\n", "\n", ".", ",", "<|endoftext|>", "123", "é", "’", "—", "Σ", "\0", "👍🏽", *rng.sample(odd, 3)]
+    texts = ["".join(rng.choice(bits[:24] if i % 3 else bits) for _ in range(rng.randint(0, 25))) for i in range(3000)] + [None, "", *(f"a{c}b" for c in odd), "a " * 30 + "b"]
+    own = pieces.ColumnEncoder("byte_bpe_50k.json")
+    monkeypatch.setattr(pieces, "GROUP", 50)
+    for most in (1 << 27, 1 << 12):  # the second makes generations change places
+        monkeypatch.setattr(pieces, "COLUMN_BYTES", most)
+        for size in (1, 7, 100, 4000):
+            for lo in range(0, len(texts), size):
+                part = texts[lo : lo + size] if size > 1 else texts[lo // 20 : lo // 20 + 1]
+                ids, counts = own(pa.array([None, *part], pa.string()).slice(1))
+                assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [own.library.whole(t or "").tolist() for t in part]
+                own.trim()
+    for nothing in ([], [None], ["", ""]):
+        ids, counts = own(pa.array(nothing, pa.string()))
+        assert len(ids) == 0 and counts.tolist() == [0] * len(nothing)
+
+
+def test_a_piece_is_looked_up_once_a_batch(monkeypatch):
+    rng, asked = random.Random(15), []
+    words = ["".join(rng.choice("abcdeéß") for _ in range(6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(1000)) for _ in range(50)]
+    find = pieces.Known.find
+    monkeypatch.setattr(pieces.Known, "find", lambda self, x: (asked.append(len(x)), find(self, x))[1])
+    pieces.ColumnEncoder("byte_bpe_50k.json")(pa.array(texts))
+    assert sum(asked) < 2000  # of 50,000 words; the encoder of lists looks up every one
+
+
 @pytest.mark.parametrize("n", [1, 2, 511, 512, 513, 5000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fresh_dir, null_safe_texts, partitions_for, small, table
-from tidemark.llm.pieces import MAX_BYTES, encoder
+from tidemark.llm.common import cut, fresh_dir, partitions_for, small, table
+from tidemark.llm.pieces import GROUP, column_encoder
 
 MAGIC = b"TMRANS1\n"
 SCALE_BITS = 20
@@ -201,26 +201,24 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
     def write(batches):
         from pyspark import TaskContext
 
-        encode, ids, doc_ids, lengths = encoder(vocabulary), [], [], []
-        tail = np.array([end_id], np.uint16)
-        for batch in small(batches):
-            texts = null_safe_texts(batch.column("text"))
-            for got in encode(texts):
-                ids += (got, tail)
-                lengths.append(len(got) + 1)
-            doc_ids += batch.column("doc_id").to_pylist()
-        encode.trim(MAX_BYTES)
+        encode, ids, doc_ids, lengths = column_encoder(vocabulary), [], [], []
+        for batch in small(batches, 4 * GROUP):
+            got, counts = encode(batch.column("text"))
+            ids.append(np.insert(got, np.cumsum(counts), end_id))
+            lengths.append(counts + 1)
+            doc_ids.append(batch.column("doc_id").to_numpy())
+        encode.trim()
         if not doc_ids:
             return
-        part = TaskContext.get().partitionId()
-        data = encode_file(np.array(doc_ids, np.int64), np.array(lengths, np.int64), np.concatenate(ids))
+        part, doc_ids, lengths = TaskContext.get().partitionId(), np.concatenate(doc_ids), np.concatenate(lengths)
+        data = encode_file(doc_ids, lengths, np.concatenate(ids))
         fs, folder = store(path)
         fs.create_dir(folder, recursive=True)
         tmp, name = f"{folder}/.part-{part:06d}-{TaskContext.get().taskAttemptId()}", f"part-{part:06d}.rans"
         with fs.open_output_stream(tmp) as out:
             out.write(data)
         fs.move(tmp, f"{folder}/{name}")
-        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [int(sum(lengths))], "bytes": [len(data)]})
+        yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [int(lengths.sum())], "bytes": [len(data)]})
 
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))), F.xxhash64("text"))
     return cut(rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long, bytes long"))
