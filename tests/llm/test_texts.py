@@ -295,6 +295,47 @@ def test_runs_of_marks_equal_all_paths_of_the_model():
     assert len(next(own.encode_all([" " * 3000 + "x"], 4))) == 4
 
 
+def test_pieces_are_found_by_buckets_and_prefixes():
+    own, rng = piece_lattice.Lattice(), np.random.default_rng(3)
+    assert own.find(own.keys).tolist() == list(range(len(own.keys)))
+    other = np.concatenate((rng.integers(0, 1 << 64, 100_000, np.uint64), own.keys + np.uint64(1), own.keys - np.uint64(1), np.array([0, (1 << 64) - 1], np.uint64)))
+    assert ((own.keys[own.find(other)] == other) == np.isin(other, own.keys)).all()
+    tried = []
+
+    class Counted(dict):
+        def get(self, *a):
+            tried.append(a[0])
+            return dict.get(self, *a)
+
+    own.pieces, own.starts = Counted(own.pieces), Counted(own.starts)
+    text = "qxqxqxqx" * 20
+    assert all(own.edges(text, i)[0][0] == i + 1 for i in range(len(text)))
+    assert len(tried) < 4 * len(text)  # before, as many a place as the longest piece has characters
+    with pytest.raises(ValueError):
+        own.decode(np.array([0, 1], np.uint16))  # no piece with a text
+
+
+def test_segments_are_looked_up_once_a_group():
+    own, tried = piece_lattice.Lattice(), []
+
+    class Counted(dict):
+        def get(self, *a):
+            tried.append(a[0])
+            return dict.get(self, *a)
+
+        def __contains__(self, x):
+            tried.append(x)
+            return dict.__contains__(self, x)
+
+    own.cache = Counted()
+    texts = ["ab cd ef gh " * 20, "", "ab xy\nz"] * 3
+    want = [piece_lattice.Lattice().encode(t) for t in texts[:3]] * 3
+    got = list(own.encode_all(texts))
+    assert len(tried) <= sum(len(own.segments(t)) for t in texts if t)  # twice as many before
+    for a, b in zip(got, want):
+        assert [(s, ids.tolist()) for s, ids in a] == [(s, ids.tolist()) for s, ids in b]
+
+
 def test_pieces_round_trip(spark):
     texts = ["", None, " two  spaces ", "É\n日本\t", "x" * 5000]
     encoded = piece_lattice.encode_n_best(frame(spark, texts), with_ids=True)

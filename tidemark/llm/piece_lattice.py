@@ -38,6 +38,8 @@ WIDE = 24
 GROUP = 500
 RUN = re.compile(f"{MARK}+[^{MARK}]*")
 PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: Leading bits of a hash that name a bucket of pieces.
+BUCKET_BITS = 20
 
 
 class Lattice:
@@ -56,7 +58,10 @@ class Lattice:
         self.longest = max(map(len, self.pieces))
         self.starts = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.pieces
         self.bytes = [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-        self.plain = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        plain = {i: p.replace(MARK, " ").encode() for p, (i, _) in self.pieces.items()} | {i: bytes([b]) for b, i in enumerate(self.bytes)}
+        self.plain = np.frombuffer(b"".join(plain.get(i, b"") for i in range(size)), np.uint8)
+        self.plain_end = np.cumsum([len(plain.get(i, b"")) for i in range(size)])
+        self.plain_count = np.array([len(plain[i]) if i in plain else -1 for i in range(size)])
         self.keys, self.key_ids, self.key_scores = self.hashed()
         self.cuts = not any("\n" in p for p in self.pieces)
         self.cache: dict[str, int] = {}
@@ -66,18 +71,31 @@ class Lattice:
         self.score, self.loss = np.zeros(1 << 12), np.zeros(1 << 12)
 
     def hashed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces by the ascending hash of their characters: hashes, ids, scores."""
+        """Pieces by the ascending hash of their characters: hashes, ids, scores; for find() also where each bucket begins."""
         found = []
         for piece, (i, score) in self.pieces.items():
             h = np.zeros(1, np.uint64)
             for c in piece:
                 h = h * PRIME + np.uint64(ord(c) + 1)
-            found.append((int(h[0]), i, score))
+            found.append((int((h * PRIME)[0]), i, score))
         found.sort()
         if len({h for h, _, _ in found}) < len(found):
             raise ValueError("two pieces share a hash")
         h, i, score = zip(*found)
-        return np.array(h, np.uint64), np.array(i, np.int64), np.array(score)
+        h = np.array(h, np.uint64)
+        self.buckets = np.searchsorted(h, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+        self.fullest = int(np.bincount((h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)).max())
+        return h, np.array(i, np.int64), np.array(score)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash among the keys, or of another key: the first of its bucket that isn't below it."""
+        at = self.buckets[(h >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+        last = np.int32(len(self.keys) - 1)
+        np.minimum(at, last, out=at)
+        for _ in range(self.fullest - 1):
+            at += self.keys[at] < h
+            np.minimum(at, last, out=at)
+        return at
 
     def segments(self, text: str) -> list[str]:
         """The text between the lattice's cuts: before each run of marks and, as no piece holds a line feed, around those."""
@@ -100,7 +118,7 @@ class Lattice:
                 self.learn_equal(group[lo : lo + (1 << 15)], n)
 
     def learn_equal(self, group: list[str], n: int) -> None:
-        m, last = len(group), len(self.keys) - 1
+        m = len(group)
         codes = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).T.astype(np.uint64) + np.uint64(1)
         best, second = np.full((n + 1, m), -np.inf), np.full((n + 1, m), -np.inf)
         piece, length = np.zeros((n + 1, m), np.int64), np.ones((n + 1, m), np.int64)
@@ -109,8 +127,9 @@ class Lattice:
             h = np.zeros(m, np.uint64)
             for k in range(1, min(self.longest, n - i) + 1):
                 h = h * PRIME + codes[i + k - 1]
-                at = np.minimum(np.searchsorted(self.keys, h), last)
-                hit = self.keys[at] == h
+                key = h * PRIME
+                at = self.find(key)
+                hit = self.keys[at] == key
                 if k == 1:
                     plain &= hit
                 rows = np.flatnonzero(hit)
@@ -145,9 +164,12 @@ class Lattice:
 
     def edges(self, text: str, start: int) -> list[tuple[int, float, tuple[int, ...]]]:
         """(end, score, ids) of the edges that leave a position."""
-        found, get = [], self.pieces.get
-        for end in range(start + 1, min(len(text), start + self.longest) + 1):
-            if (piece := get(text[start:end])) is not None:
+        found, get = [], self.starts.get
+        for end in range(start + 1, len(text) + 1):
+            piece = get(text[start:end], 0)
+            if piece == 0:
+                break
+            if piece is not None:
                 found.append((end, piece[1], (piece[0],)))
         if not found or found[0][0] != start + 1:
             raw = text[start].encode("utf-8", "surrogatepass")
@@ -250,17 +272,22 @@ class Lattice:
                 self.texts.clear()
                 self.ids.clear()
             group = [self.segments(t) if t else [] for t in texts[lo : lo + GROUP]]
-            have = self.cache
-            self.learn(list({s for segments in group for s in segments if s not in have}))
+            have, flat, at = self.cache, [s for segments in group for s in segments], 0
+            places = list(map(have.get, flat))
+            missing = [i for i, p in enumerate(places) if p is None]
+            self.learn(list(dict.fromkeys([flat[i] for i in missing])))
+            for i in missing:
+                places[i] = have[flat[i]]
             for text, segments in zip(texts[lo : lo + GROUP], group):
-                yield self.encode(text, n, segments)
+                yield self.encode(text, n, places[at : at + len(segments)])
+                at += len(segments)
 
-    def encode(self, text: str, n: int = N_BEST, segments: list[str] | None = None) -> list[tuple[float, np.ndarray]]:
+    def encode(self, text: str, n: int = N_BEST, places: list[int] | None = None) -> list[tuple[float, np.ndarray]]:
         """The n best segmentations of a text as (score, ids), best first."""
         if not text:
             return [(0.0, np.empty(0, np.uint16))]
         get, number = self.cache.get, self.number
-        places = [p if (p := get(s)) is not None else number(s) for s in segments or self.segments(text)]
+        places = places or [p if (p := get(s)) is not None else number(s) for s in self.segments(text)]
         parts, at = [self.ids[p] for p in places], np.array(places)
         total, loss = float(self.score[at].sum()), self.loss[at]
         if n == 1:
@@ -288,8 +315,10 @@ class Lattice:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of a segmentation."""
-        raw = b"".join(map(self.plain.__getitem__, ids.tolist()))
-        return raw.decode("utf-8", "surrogatepass")[1:]
+        count = self.plain_count[ids]
+        at = np.repeat(self.plain_end[ids] - np.cumsum(count), count)
+        at += np.arange(len(at))
+        return self.plain[at].tobytes().decode("utf-8", "surrogatepass")[1:]
 
 
 _lattices: dict[str, Lattice] = {}
