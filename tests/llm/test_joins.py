@@ -322,6 +322,17 @@ def test_coder_round_trip(n):
     assert coder.decode(coder.encode(ids)).tolist() == ids.tolist()
 
 
+@pytest.mark.parametrize("n", [1, 2047, 2048, 4096, 9000])
+def test_blocks_side_by_side_equal_each_alone(n):
+    ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 50_256).astype(np.uint16)
+    coder = token_files.Coder(*token_files.frequency_table(np.bincount(ids, minlength=1)))
+    for size in (512, 1000, 2048):
+        blocks = coder.encode_blocks(ids, size)
+        assert blocks == [coder.encode(ids[lo : lo + size]) for lo in range(0, n, size)]
+        for part in (blocks, blocks[: n // size], blocks[:1]):
+            assert [x.tolist() for x in coder.decode_blocks(part)] == [ids[lo : lo + size].tolist() for lo in range(0, n, size)][: len(part)]
+
+
 def test_blocks_decode_alone_and_damage_is_found(monkeypatch, tmp_path):
     monkeypatch.setattr(token_files, "BLOCK", 1000)
     ids = np.random.default_rng(1).integers(0, 300, 5500).astype(np.uint32)

@@ -149,10 +149,10 @@ class Encoder:
         return out
 
 
-#: The characters of ODD_SPACE in UTF-8: those below U+0080, and the others as numbers of two and of three bytes.
+#: The characters of ODD_SPACE in UTF-8: 1 for the bytes of those below U+0080, 2 for the first bytes of the others, and those as numbers of two and of three bytes.
 ODD_UTF8 = [c.encode() for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if ODD_SPACE.match(c)]
-ODD_BYTES = np.isin(np.arange(256), [c[0] for c in ODD_UTF8 if len(c) == 1])
-ODD_LEADS = np.isin(np.arange(256), [c[0] for c in ODD_UTF8 if len(c) > 1])
+ODD_KINDS = np.zeros(256, np.uint8)
+ODD_KINDS[[c[0] for c in ODD_UTF8]] = [min(len(c), 2) for c in ODD_UTF8]
 ODD_TWO, ODD_THREE = (np.array([int.from_bytes(c) for c in ODD_UTF8 if len(c) == k]) for k in (2, 3))
 
 
@@ -185,9 +185,10 @@ class Known:
     def join(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of these places one after another, and how many each has."""
         count = self.count[places]
-        end = np.cumsum(count)
-        at = np.repeat(self.start[places] - end + count, count)
-        at += np.arange(len(at))
+        end = np.cumsum(count, dtype=np.int64)
+        kind = np.int32 if max(len(self.ids), end[-1] if len(end) else 0) < 1 << 30 else np.int64
+        at = np.repeat((self.start[places] - end + count).astype(kind), count)
+        at += np.arange(len(at), dtype=kind)
         return self.ids[at], count
 
 
@@ -201,40 +202,39 @@ class ColumnEncoder:
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         raw, at = text_arrays(column)
-        odd = self.odd(raw, at)
+        gap = (raw == 0x20) | (raw == 0x0A)
+        odd = self.odd(raw, at, gap)
         if not odd.any():
-            return self.joined(raw, at)
+            return self.joined(raw, at, gap)
         plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
-        ids, counts = self.joined(*text_arrays(column.take(plain)))
+        part, ends = text_arrays(column.take(plain))
+        ids, counts = self.joined(part, ends, (part == 0x20) | (part == 0x0A))
         found = dict(zip(plain.tolist(), np.split(ids, np.cumsum(counts)[:-1]))) | {i: self.library.whole(raw[at[i] : at[i + 1]].tobytes().decode()) for i in rest.tolist()}
         parts = [found[i] for i in range(len(odd))]
         return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
 
     @staticmethod
-    def odd(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Which texts only the library may cut: as in Encoder.split(), or longer than GROUP."""
-        gap = (raw == 0x20) | (raw == 0x0A)
+    def odd(raw: np.ndarray, at: np.ndarray, gap: np.ndarray) -> np.ndarray:
+        """Which texts only the library may cut: as in Encoder.split(), or longer than GROUP. gap: the spaces and line feeds."""
         bad = gap.copy()
         bad[1:] &= gap[:-1]
         start, end = at[:-1][np.diff(at) > 0], at[1:][np.diff(at) > 0]
         bad[start], bad[end - 1] = gap[start], bad[end - 1] | gap[end - 1]
-        bad |= ODD_BYTES[raw]
-        lead = np.flatnonzero(ODD_LEADS[raw])
-        after = np.concatenate((raw, np.zeros(2, np.uint8))).astype(np.int64)
-        two = after[lead] << 8 | after[lead + 1]
-        bad[lead] |= np.isin(two, ODD_TWO) | np.isin(two << 8 | after[lead + 2], ODD_THREE)
+        kind = ODD_KINDS[raw]
+        bad |= kind == 1
+        lead = np.flatnonzero(kind == 2)
+        one, two, three = (np.append(raw, [np.uint8(0)] * 2)[lead + k].astype(np.int64) for k in range(3))
+        bad[lead] |= np.isin(one << 8 | two, ODD_TWO) | np.isin(one << 16 | two << 8 | three, ODD_THREE)
         out = np.diff(at) > GROUP
         out[np.searchsorted(at, np.flatnonzero(bad), "right") - 1] = True
         return out
 
-    def joined(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def joined(self, raw: np.ndarray, at: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts that are cut before each space and line feed."""
         import pyarrow as pa
 
-        first = np.zeros(len(raw) + 1, bool)
+        first = np.append(gap, True)
         first[at] = True
-        first[:-1] |= (raw == 0x20) | (raw == 0x0A)
-        first[-1] = True
         edges = np.flatnonzero(first)
         if len(edges) < 2:
             return np.empty(0, np.uint16), np.zeros(len(at) - 1, np.int64)

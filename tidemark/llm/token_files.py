@@ -34,6 +34,8 @@ LOW = np.uint64(1 << 31)
 LANES = 512
 BLOCK = 1 << 17
 FILE_BYTES = 16 << 20
+#: Blocks that are decoded side by side.
+AHEAD = 8
 
 
 def frequency_table(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +86,35 @@ class Coder:
             x[:k] = (q << np.uint64(SCALE_BITS)) + (state - q * f) + self.cum[now]
         return struct.pack("<II", len(ids), lanes) + x.astype("<u8").tobytes() + b"".join(w.tobytes() for w in reversed(out))
 
+    def encode_blocks(self, ids: np.ndarray, size: int) -> list[bytes]:
+        """encode() of each block of size ids; full blocks run side by side, so a step is one array operation for all."""
+        full, lanes = len(ids) // size, min(LANES, size)
+        if full < 2 or size % lanes:
+            return [self.encode(ids[lo : lo + size]) for lo in range(0, len(ids), size)]
+        r = self.ranks(ids[: full * size]).astype(np.uint32).reshape(full, size)
+        x, words, owners = np.full((full, lanes), LOW, np.uint64), [], []
+        for lo in range(size - lanes, -1, -lanes):
+            now = r[:, lo : lo + lanes]
+            f = self.f[now]
+            spill = np.flatnonzero(x >= f << np.uint64(63 - SCALE_BITS))
+            if len(spill):
+                state = x.ravel()
+                words.append(state[spill].astype(np.uint32))
+                owners.append((spill // lanes).astype(np.uint16 if full < 1 << 16 else np.int64))
+                state[spill] >>= np.uint64(32)
+            q = x // f
+            x -= q * f
+            q <<= np.uint64(SCALE_BITS)
+            x += q
+            x += self.cum[now]
+        out = [struct.pack("<II", size, lanes) + row.astype("<u8").tobytes() for row in x]
+        if words:
+            words, owners = np.concatenate(words[::-1]), np.concatenate(owners[::-1])
+            words = words[np.argsort(owners, kind="stable")].astype("<u4")
+            parts = np.split(words, np.cumsum(np.bincount(owners, minlength=full))[:-1])
+            out = [head + part.tobytes() for head, part in zip(out, parts)]
+        return out + ([self.encode(ids[full * size :])] if len(ids) > full * size else [])
+
     def decode(self, data: bytes) -> np.ndarray:
         if self.slots is None:
             self.slots = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
@@ -106,6 +137,34 @@ class Coder:
         return self.symbols[ranks]
 
 
+    def decode_blocks(self, blocks: list[bytes]) -> list[np.ndarray]:
+        """decode() of each block; blocks of one size run side by side."""
+        heads = {struct.unpack_from("<II", data) for data in blocks}
+        n, lanes = min(heads, default=(0, 0))
+        if len(blocks) < 2 or len(heads) > 1 or n % lanes:
+            return [self.decode(data) for data in blocks]
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
+        x = np.stack([np.frombuffer(data, "<u8", lanes, 8) for data in blocks])
+        words = [np.frombuffer(data, "<u4", offset=8 + 8 * lanes) for data in blocks]
+        at = np.cumsum([0, *map(len, words)])[:-1]
+        words, ranks, mask = np.concatenate(words), np.empty((len(blocks), n), np.uint32), np.uint64((1 << SCALE_BITS) - 1)
+        for lo in range(0, n, lanes):
+            slot = x & mask
+            s = ranks[:, lo : lo + lanes] = self.slots[slot]
+            x >>= np.uint64(SCALE_BITS)
+            x *= self.f[s]
+            x += slot
+            x -= self.cum[s]
+            need = np.flatnonzero(x < LOW)
+            if len(need):
+                owner, state = need // lanes, x.ravel()
+                count = np.bincount(owner, minlength=len(blocks))
+                state[need] = state[need] << np.uint64(32) | words[(at - np.cumsum(count) + count)[owner] + np.arange(len(need))]
+                at += count
+        return [self.symbols[row] for row in ranks]
+
+
 def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: all blocks share the frequency table of its ids."""
     symbols, freqs = frequency_table(np.bincount(ids, minlength=1))
@@ -114,8 +173,7 @@ def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> by
     head = json.dumps({"scale_bits": SCALE_BITS, "symbols": len(symbols), "table_bytes": len(shared), "table_crc32": zlib.crc32(shared)}).encode()
     out = [MAGIC, struct.pack("<I", len(head)), head, shared]
     at, blocks = sum(map(len, out)), []
-    for lo in range(0, len(ids), BLOCK):
-        data = coder.encode(ids[lo : lo + BLOCK])
+    for lo, data in zip(range(0, len(ids), BLOCK), coder.encode_blocks(ids, BLOCK)):
         blocks.append([at, len(data), min(BLOCK, len(ids) - lo), zlib.crc32(data)])
         out.append(data)
         at += len(data)
@@ -156,23 +214,32 @@ class File:
         return self.handle.read(n)
 
     def block(self, i: int) -> np.ndarray:
-        at, size, n, crc = self.blocks[i]
-        data = self.read(at, size)
-        if zlib.crc32(data) != crc:
-            raise ValueError(f"checksum of block {i} differs")
-        ids = self.coder.decode(data)
-        if len(ids) != n:
-            raise ValueError(f"block {i} has {len(ids)} ids, not {n}")
-        return ids
+        return self.some(i, i + 1)[0]
+
+    def some(self, first: int, end: int) -> list[np.ndarray]:
+        """The ids of these blocks."""
+        found = []
+        for i, (at, size, _, crc) in enumerate(self.blocks[first:end], first):
+            found.append(self.read(at, size))
+            if zlib.crc32(found[-1]) != crc:
+                raise ValueError(f"checksum of block {i} differs")
+        out = self.coder.decode_blocks(found)
+        for i, ids in enumerate(out, first):
+            if len(ids) != self.blocks[i][2]:
+                raise ValueError(f"block {i} has {len(ids)} ids, not {self.blocks[i][2]}")
+        return out
 
     def documents(self):
-        """(doc_id, ids as uint32) in file order, with at most a document and a block in memory."""
+        """(doc_id, ids as uint32) in file order, with at most a document and AHEAD blocks in memory."""
         have, ready, nxt = [], 0, 0
         for doc, n in zip(self.doc_ids.tolist(), self.lengths.tolist()):
             while ready < n:
-                have.append(self.block(nxt))
-                ready += len(have[-1])
-                nxt += 1
+                # the last block is mostly shorter, so it is decoded alone
+                end = min(nxt + AHEAD, max(nxt + 1, len(self.blocks) - 1))
+                more = self.some(nxt, end)
+                have += more
+                ready += sum(map(len, more))
+                nxt = end
             joined = np.concatenate(have) if len(have) > 1 else have[0] if have else np.empty(0, np.uint32)
             yield doc, joined[:n]
             have, ready = [joined[n:]], ready - n
@@ -233,7 +300,7 @@ def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("file_start").to_pylist()):
                 with fs.open_input_file(f"{folder}/{name}") as handle:
                     found = File(handle, handle.size())
-                    rows = [(doc, len(ids), zlib.crc32(ids.astype("<u4").tobytes())) for doc, ids in found.documents()]
+                    rows = [(doc, len(ids), zlib.crc32(ids.astype("<u4", copy=False))) for doc, ids in found.documents()]
                 doc, n, crc = (np.array(x, np.int64) for x in zip(*rows))
                 yield pa.RecordBatch.from_pydict({"doc_id": doc, "start": start + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": crc})
 
