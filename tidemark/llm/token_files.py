@@ -269,7 +269,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         from pyspark import TaskContext
 
         encode, ids, doc_ids, lengths = column_encoder(vocabulary), [], [], []
-        for batch in small(batches, 4 * GROUP):
+        for batch in small(batches, 2 * GROUP):
             got, counts = encode(batch.column("text"))
             ids.append(np.insert(got, np.cumsum(counts), end_id))
             lengths.append(counts + 1)
