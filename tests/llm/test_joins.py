@@ -237,6 +237,15 @@ def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")).first().kept
 
 
+def test_release_returns_freed_memory(spark):
+    resident = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("VmRSS")).split()[1]) >> 10
+    held = [np.ones(64 << 10, np.uint8) for _ in range(4000)]
+    most, held = resident(), held[-1:]  # the last one keeps glibc from returning what lies before it
+    common.release(spark)
+    assert resident() < most - 150 and held[0].all()
+    assert common.trim_jvm(spark).startswith("Trim native heap")
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_holds_every_length_once(seed):
     rng = random.Random(seed)

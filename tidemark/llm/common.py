@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import math
 import os
@@ -9,6 +10,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +49,34 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffles and checkpoints of plans that nothing refers to any more."""
+    """Lets Spark delete the shuffles and checkpoints of plans that nothing refers to any more; the driver returns what it has freed to the system."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    trim_process()
+    trim_jvm(spark)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """Returns memory outside the heap that the driver's JVM has freed; what the JVM says to it, empty where it has no such command."""
+    jvm, new = spark.sparkContext._jvm, spark.sparkContext._gateway.new_array
+    java = jvm.java.lang
+    try:
+        server, name = java.management.ManagementFactory.getPlatformMBeanServer(), jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        given = new(java.Object, 4)
+        given[0], given[1], given[2], given[3] = name, "systemTrimNativeHeap", new(java.Object, 0), new(java.String, 0)
+        # through the interface, as the server's own class is not open to py4j
+        (invoke,) = (m for m in java.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        return str(invoke.invoke(server, given))
+    except (Py4JError, ValueError):
+        return ""
+
+
+def trim_process() -> None:
+    """Returns memory that this process has freed, which glibc keeps otherwise; elsewhere it does nothing."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError, TypeError):
+        pass
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
@@ -186,5 +213,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+        del both, low, large, e2, small
+        release(e.sparkSession)
     found = e.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return found.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import null_safe_texts, small, table
+from tidemark.llm.common import null_safe_texts, release, small, table
 
 SAMPLE = 2_000
 #: Documents with more characters are scanned but not learnt from, so the sample has a bound in characters too.
@@ -444,7 +444,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
         if k != last:
             x, last = tagged(*learnt[k]), k
         examples.append(stretch(*x, lo, min(len(x[1]), lo + QUIET_WORDS)))
-    return Field.trained(examples)
+    field = Field.trained(examples)
+    del texts, learnt, quiet, examples
+    release(docs.sparkSession)
+    return field
 
 
 def scan_texts(texts: list[str], field: Field):
