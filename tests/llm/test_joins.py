@@ -322,6 +322,34 @@ def test_a_piece_is_looked_up_once_a_batch(monkeypatch):
     assert sum(asked) < 2000  # of 50,000 words; the encoder of lists looks up every one
 
 
+def test_columns_of_words_equal_the_library(monkeypatch):
+    rng = random.Random(16)
+    bits = ["a", "B", "ab", "É", "e\u0301", "\u0301", "日本", "ß", "'", "'s", "'LL", "'re", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\x0b", ".", ",", "--", "|", "<|endoftext|>", "12", "3", "٣", "Σ", "İ", "K", "ſ", "\x00", "\x01", "\x1c", "\x1f", "\x85", "\xa0", "\u3000", "\u200b", "’", "👍🏽"]
+    texts = ["".join(rng.choice(bits if i % 3 else bits[:33]) for _ in range(rng.randint(0, 25))) for i in range(3000)] + [None, "", " ", "a " * 30 + "b", "\x01", "a\x01 b", *(f"a{c}b{c}'s" for c in bits)]
+    own = pieces.ColumnEncoder("word_bpe_49k.json")
+    monkeypatch.setattr(pieces, "GROUP", 60)
+    for most in (1 << 27, 1 << 12):
+        monkeypatch.setattr(pieces, "COLUMN_BYTES", most)
+        for size in (1, 7, 4000):
+            for lo in range(0, len(texts), size):
+                part = texts[lo : lo + size] if size > 1 else texts[lo // 20 : lo // 20 + 1]
+                ids, counts = own(pa.array([None, *part], pa.string()).slice(1))
+                assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [own.library.whole(t or "").tolist() for t in part]
+                own.trim()
+    for nothing in ([], [None], ["", " "]):
+        ids, counts = own(pa.array(nothing, pa.string()))
+        assert len(ids) == 0 and counts.tolist() == [0] * len(nothing)
+
+
+def test_new_words_share_library_calls(monkeypatch):
+    rng, asked = random.Random(17), []
+    texts = [" ".join("".join(rng.choice("abcdeéß") for _ in range(6)) for _ in range(100)) for _ in range(50)]
+    whole = pieces.Encoder.whole
+    monkeypatch.setattr(pieces.Encoder, "whole", lambda self, x: (asked.append(x), whole(self, x))[1])
+    pieces.ColumnEncoder("word_bpe_49k.json")(pa.array(texts))
+    assert len(asked) < 20  # for 5,000 words
+
+
 @pytest.mark.parametrize("n", [1, 2, 511, 512, 513, 5000])
 def test_coder_round_trip(n):
     rng = np.random.default_rng(n)

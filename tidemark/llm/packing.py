@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, null_safe_texts, small, table
-from tidemark.llm.pieces import encoder
+from tidemark.llm.common import cut, small, table
+from tidemark.llm.pieces import GROUP, column_encoder
 
 CAPACITY = 4096
 SMALL = CAPACITY // 8
@@ -185,18 +185,22 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
     def cut_up(batches):
         from pyspark import TaskContext
 
-        encode, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in small(batches):
-            rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(null_safe_texts(batch.column("text")))):
-                ids = np.append(ids, np.uint16(end_id)).astype("<u4")
-                for k, start in enumerate(range(0, len(ids), capacity)):
-                    one = ids[start : start + capacity]
-                    rows.append((doc, k, start, len(one), zlib.crc32(one.tobytes()), part, int(seen[len(one)])))
-                    seen[len(one)] += 1
-            if rows:
-                names = ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth")
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in zip(names, zip(*rows))})
+        encode, part, seen = column_encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in small(batches, 2 * GROUP):
+            ids, counts = encode(batch.column("text"))
+            ids, counts = np.insert(ids, np.cumsum(counts), end_id).astype("<u4"), counts + 1
+            pieces = -(-counts // capacity)
+            doc = np.repeat(np.arange(len(counts)), pieces)
+            k = np.arange(len(doc)) - (np.cumsum(pieces) - pieces)[doc]
+            length = np.minimum(capacity, counts[doc] - k * capacity)
+            end = np.cumsum(length)
+            crc = [zlib.crc32(ids[lo:hi]) for lo, hi in zip((end - length).tolist(), end.tolist())]
+            order, here = np.argsort(length, kind="stable"), np.bincount(length, minlength=capacity + 1)
+            nth = np.empty(len(doc), np.int64)
+            nth[order] = seen[length[order]] + np.arange(len(doc)) - (np.cumsum(here) - here)[length[order]]
+            seen += here
+            numbers = (k, k * capacity, length, np.array(crc, np.int64), np.full(len(doc), part), nth)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), *map(pa.array, numbers)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
         encode.trim()
 
     return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece long, start long, length long, ids_crc32 long, part long, nth long")

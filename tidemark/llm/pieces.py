@@ -9,7 +9,8 @@ is a token of its own there. Texts are taken in groups of GROUP characters, and
 a text that alone has more is encoded by the library, so one batch cannot overshoot the bound by more than a group.
 
 ColumnEncoder does the same for an Arrow column: pieces are cut and counted by arrays, so Python sees each distinct piece
-of a batch once, and the ids lie in one array a generation. Between tasks it keeps one generation.
+of a batch once, and the ids lie in one array a generation. Between tasks it keeps one generation. Where the library
+drops white space, new pieces go to it as one text with a mark, which is one token, after each.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 
-from tidemark.llm.common import text_arrays, tokenizer_path
+from tidemark.llm.common import SPACE_BYTES, text_arrays, tokenizer_path
 
 MAX_BYTES = 128 << 20
 GROUP = 1 << 21
@@ -35,6 +36,9 @@ ODD_SPACE = re.compile("[\t\x0b-\r\x85\xa0  -     　\x1c-\x1f​
 #: The same below U+0080, and what marks a first piece: a search for each is faster than the expression.
 ODD = ("  ", " \n", "\n ", "\n\n", *"\0\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
 
+#: A word of one token that stands between new words; where a piece has it too, those of the call are learnt one by one.
+MARK = "\x01"
+
 #: str.split() cuts at these, the library does not.
 CONTROL = re.compile("[\x1c-\x1f]")
 
@@ -156,6 +160,10 @@ ODD_KINDS[[c[0] for c in ODD_UTF8]] = [min(len(c), 2) for c in ODD_UTF8]
 ODD_TWO, ODD_THREE = (np.array([int.from_bytes(c) for c in ODD_UTF8 if len(c) == k]) for k in (2, 3))
 
 
+#: Bytes as ASCII letters, digits and others, and 3 for those beside which a word is not cut.
+KINDS = np.array([3 if b == 0x27 or b > 0x7F else 0 if chr(b).isalpha() else 1 if chr(b).isdigit() else 2 for b in range(256)], np.uint8)
+
+
 class Known:
     """Ids of pieces: a place for each piece, and each place's start and number of ids in one array."""
 
@@ -193,22 +201,22 @@ class Known:
 
 
 class ColumnEncoder:
-    """Ids of an Arrow column's texts for a library that keeps spaces, equal to Encoder.whole() of each."""
+    """Ids of an Arrow column's texts, equal to Encoder.whole() of each."""
 
     def __init__(self, name: str):
-        self.library = Encoder(name, keeps_space=True)
+        self.library = Encoder(name, keeps_space(name))
         self.young, self.older = Known(), Known()
+        #: Words: the token of a mark that stands between two of them.
+        self.between = None if self.library.keeps_space else int(self.library.whole(MARK)[0])
 
     def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and how many each has."""
         raw, at = text_arrays(column)
-        gap = (raw == 0x20) | (raw == 0x0A)
-        odd = self.odd(raw, at, gap)
+        odd = self.odd(raw, at, (raw == 0x20) | (raw == 0x0A)) if self.library.keeps_space else np.diff(at) > GROUP
         if not odd.any():
-            return self.joined(raw, at, gap)
+            return self.joined(raw, at)
         plain, rest = np.flatnonzero(~odd), np.flatnonzero(odd)
-        part, ends = text_arrays(column.take(plain))
-        ids, counts = self.joined(part, ends, (part == 0x20) | (part == 0x0A))
+        ids, counts = self.joined(*text_arrays(column.take(plain)))
         found = dict(zip(plain.tolist(), np.split(ids, np.cumsum(counts)[:-1]))) | {i: self.library.whole(raw[at[i] : at[i + 1]].tobytes().decode()) for i in rest.tolist()}
         parts = [found[i] for i in range(len(odd))]
         return np.concatenate(parts), np.array(list(map(len, parts)), np.int64)
@@ -229,11 +237,14 @@ class ColumnEncoder:
         out[np.searchsorted(at, np.flatnonzero(bad), "right") - 1] = True
         return out
 
-    def joined(self, raw: np.ndarray, at: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same for texts that are cut before each space and line feed."""
+    def joined(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts that are cut before each space and line feed, or into the words between white space."""
         import pyarrow as pa
 
-        first = np.append(gap, True)
+        if self.library.keeps_space:
+            first = np.append((raw == 0x20) | (raw == 0x0A), True)
+        else:
+            raw, at, first = self.words(raw, at)
         first[at] = True
         edges = np.flatnonzero(first)
         if len(edges) < 2:
@@ -244,6 +255,24 @@ class ColumnEncoder:
         before = np.concatenate(([0], np.cumsum(counts)))
         return ids, np.diff(before[np.searchsorted(edges, at)])
 
+    @staticmethod
+    def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts without their white space and with A-Z folded, as the library does both; where their pieces begin, and the end.
+
+        A word is also cut between ASCII letters, digits and others, as the library's expression always ends a match
+        there, but not beside an apostrophe, which may begin "'s" or "'ll". White space beyond U+0080 stays within
+        words, where the library cuts it.
+        """
+        gap = SPACE_BYTES[raw]
+        keep = np.flatnonzero(~gap)
+        after = np.append(True, gap[:-1])[keep]
+        at = np.searchsorted(keep, at)
+        raw = raw[keep]
+        raw += ((raw >= 65) & (raw <= 90)).view(np.uint8) << np.uint8(5)
+        kind = KINDS[raw]
+        after[1:] |= (kind[1:] != kind[:-1]) & (np.maximum(kind[1:], kind[:-1]) < 3)
+        return raw, at, np.append(after, True)
+
     def trim(self) -> None:
         """After a task: only one generation stays, the younger one from half its bound on, else the larger one."""
         kept = self.young if self.young.held > COLUMN_BYTES // 2 else max(self.young, self.older, key=lambda x: x.held)
@@ -270,7 +299,11 @@ class ColumnEncoder:
         self.learn(pieces)
 
     def learn(self, pieces: list[str]) -> None:
-        """Asks the library for new pieces, many in one call, as lines of one text."""
+        """Asks the library for new pieces, many in one call, as lines of one text or with marks between words."""
+        if not self.library.keeps_space:
+            for i in range(0, len(pieces), 512):
+                self.learn_words(pieces[i : i + 512])
+            return
         kinds: dict[str, list[str]] = {" ": [], "\n": [], "": []}
         for p in pieces:
             kinds[p[0] if p[0] in " \n" else ""].append(p)
@@ -289,8 +322,21 @@ class ColumnEncoder:
             start = np.concatenate(([0], end[:-1] + 1))
         if len(start) == len(part):
             self.young.add(part, ids, start, end - start)
-            return
-        for p in part:  # lines that can't be told apart
+        else:
+            self.learn_each(part)
+
+    def learn_words(self, part: list[str]) -> None:
+        ids = self.library.whole(f" {MARK} ".join([*part, ""]))
+        end = np.flatnonzero(ids == self.between)
+        if len(end) == len(part):
+            start = np.concatenate(([0], end[:-1] + 1))
+            self.young.add(part, ids, start, end - start)
+        else:
+            self.learn_each(part)
+
+    def learn_each(self, part: list[str]) -> None:
+        """Pieces that can't be told apart in one text."""
+        for p in part:
             ids = self.library.whole(p)
             self.young.add([p], ids, np.zeros(1, np.int64), np.array([len(ids)]))
 
@@ -299,9 +345,13 @@ _encoders: dict[str, Encoder] = {}
 _columns: dict[str, ColumnEncoder] = {}
 
 
+def keeps_space(name: str) -> bool:
+    return not name.startswith("word_")
+
+
 def encoder(name: str) -> Encoder:
     if name not in _encoders:
-        _encoders[name] = Encoder(name, keeps_space=not name.startswith("word_"))
+        _encoders[name] = Encoder(name, keeps_space(name))
     return _encoders[name]
 
 
