@@ -359,6 +359,24 @@ def test_coder_round_trip(n):
     assert coder.decode(coder.encode(ids)).tolist() == ids.tolist()
 
 
+def test_a_manifest_has_few_partitions(spark, tmp_path):
+    docs = frame(spark, [f"text {i}" for i in range(50)])
+    manifest = token_files.write_token_files(docs, str(tmp_path), "byte_bpe_50k.json", 0, 40)
+    assert manifest.rdd.getNumPartitions() == 1  # each is a checkpoint file
+    found = token_files.read_token_files(manifest, str(tmp_path)).collect()
+    assert manifest.count() > 30 and sorted(r.doc_id for r in found) == list(range(50))
+
+
+def test_an_encoder_returns_memory_after_a_task(monkeypatch):
+    own, calls = pieces.ColumnEncoder("byte_bpe_50k.json"), []
+    monkeypatch.setattr(pieces, "trim_process", lambda: calls.append(len(own.young.places) + len(own.older.places)))
+    monkeypatch.setattr(pieces, "COLUMN_BYTES", 1 << 12)
+    for k in range(3):
+        own(pa.array([f"a{k}b{i}" for i in range(100)]))
+    own.trim()
+    assert calls == [100]  # of two generations one is left then
+
+
 @pytest.mark.parametrize("n", [1, 2047, 2048, 4096, 9000])
 def test_blocks_side_by_side_equal_each_alone(n):
     ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 50_256).astype(np.uint16)

@@ -21,7 +21,7 @@ from itertools import repeat
 
 import numpy as np
 
-from tidemark.llm.common import SPACE_BYTES, text_arrays, tokenizer_path
+from tidemark.llm.common import SPACE_BYTES, text_arrays, tokenizer_path, trim_process
 
 MAX_BYTES = 128 << 20
 GROUP = 1 << 21
@@ -277,6 +277,7 @@ class ColumnEncoder:
         """After a task: only one generation stays, the younger one from half its bound on, else the larger one."""
         kept = self.young if self.young.held > COLUMN_BYTES // 2 else max(self.young, self.older, key=lambda x: x.held)
         self.young, self.older = Known(), kept
+        trim_process()
 
     def places(self, pieces: list[str]) -> np.ndarray:
         """Places of distinct pieces in the younger generation, which the missing ones enter."""

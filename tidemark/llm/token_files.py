@@ -34,7 +34,9 @@ LOW = np.uint64(1 << 31)
 LANES = 512
 BLOCK = 1 << 17
 FILE_BYTES = 16 << 20
-#: Blocks that are decoded side by side.
+#: Rows of the manifest in a partition.
+MANIFEST_ROWS = 4096
+#: Blocks that are coded side by side.
 AHEAD = 8
 
 
@@ -63,7 +65,7 @@ class Coder:
 
     def ranks(self, ids: np.ndarray) -> np.ndarray:
         if self.places is None:
-            self.places = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, np.int64)
+            self.places = np.zeros(int(self.symbols[-1]) + 1 if len(self.symbols) else 0, np.uint32)
             self.places[self.symbols] = np.arange(len(self.symbols))
         return self.places[ids]
 
@@ -91,7 +93,7 @@ class Coder:
         full, lanes = len(ids) // size, min(LANES, size)
         if full < 2 or size % lanes:
             return [self.encode(ids[lo : lo + size]) for lo in range(0, len(ids), size)]
-        r = self.ranks(ids[: full * size]).astype(np.uint32).reshape(full, size)
+        r = self.ranks(ids[: full * size]).reshape(full, size)
         x, words, owners = np.full((full, lanes), LOW, np.uint64), [], []
         for lo in range(size - lanes, -1, -lanes):
             now = r[:, lo : lo + lanes]
@@ -167,13 +169,17 @@ class Coder:
 
 def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One file: all blocks share the frequency table of its ids."""
-    symbols, freqs = frequency_table(np.bincount(ids, minlength=1))
+    parts = [ids[lo : lo + AHEAD * BLOCK] for lo in range(0, len(ids), AHEAD * BLOCK)]  # so what coding takes beside the ids is bounded
+    counts = np.zeros(1 << 16, np.int64)
+    for part in parts:
+        counts += np.bincount(part, minlength=len(counts))
+    symbols, freqs = frequency_table(counts)
     coder = Coder(symbols, freqs)
     shared = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freqs.astype("<u4").tobytes())
     head = json.dumps({"scale_bits": SCALE_BITS, "symbols": len(symbols), "table_bytes": len(shared), "table_crc32": zlib.crc32(shared)}).encode()
     out = [MAGIC, struct.pack("<I", len(head)), head, shared]
     at, blocks = sum(map(len, out)), []
-    for lo, data in zip(range(0, len(ids), BLOCK), coder.encode_blocks(ids, BLOCK)):
+    for lo, data in zip(range(0, len(ids), BLOCK), (data for part in parts for data in coder.encode_blocks(part, BLOCK))):
         blocks.append([at, len(data), min(BLOCK, len(ids) - lo), zlib.crc32(data)])
         out.append(data)
         at += len(data)
@@ -288,7 +294,9 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str, end_id: int,
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [len(doc_ids)], "n_ids": [int(lengths.sum())], "bytes": [len(data)]})
 
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.coalesce("text", F.lit(""))), F.xxhash64("text"))
-    return cut(rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long, bytes long"))
+    manifest = rows.mapInArrow(write, "part long, file string, n_docs long, n_ids long, bytes long")
+    # A checkpoint has a file for each partition, and for each file Hadoop starts a process, which the executor's memory counts for twice until it runs.
+    return cut(manifest.repartition(-(-files // MANIFEST_ROWS)))
 
 
 def read_token_files(manifest: DataFrame, path: str) -> DataFrame:
