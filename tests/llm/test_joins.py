@@ -367,6 +367,16 @@ def test_a_manifest_has_few_partitions(spark, tmp_path):
     assert manifest.count() > 30 and sorted(r.doc_id for r in found) == list(range(50))
 
 
+def test_packing_keeps_no_encoder_in_its_workers(spark):
+    def held(_):
+        from tidemark.llm import pieces
+
+        yield "word_bpe_49k.json" in pieces._columns
+
+    assert packing.pack_documents(frame(spark, ["a b c"] * 50)).count() == 50
+    assert not any(spark.sparkContext.parallelize(range(8), 8).mapPartitions(held).collect())
+
+
 def test_an_encoder_returns_memory_after_a_task(monkeypatch):
     own, calls = pieces.ColumnEncoder("byte_bpe_50k.json"), []
     monkeypatch.setattr(pieces, "trim_process", lambda: calls.append(len(own.young.places) + len(own.older.places)))

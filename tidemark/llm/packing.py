@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, small, table
-from tidemark.llm.pieces import GROUP, column_encoder
+from tidemark.llm.pieces import GROUP, column_encoder, forget
 
 CAPACITY = 4096
 SMALL = CAPACITY // 8
@@ -201,7 +201,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -
             seen += here
             numbers = (k, k * capacity, length, np.array(crc, np.int64), np.full(len(doc), part), nth)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()).take(pa.array(doc)), *map(pa.array, numbers)], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
-        encode.trim()
+        del encode  # a pipeline's other stages run in the same workers
+        forget(vocabulary)
 
     return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece long, start long, length long, ids_crc32 long, part long, nth long")
 

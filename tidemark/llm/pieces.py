@@ -360,3 +360,9 @@ def column_encoder(name: str) -> ColumnEncoder:
     if name not in _columns:
         _columns[name] = ColumnEncoder(name)
     return _columns[name]
+
+
+def forget(name: str) -> None:
+    """Drops a column encoder with all that it knows, so that stages after its own have the memory."""
+    _columns.pop(name, None)
+    trim_process()
